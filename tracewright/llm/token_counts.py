@@ -9,8 +9,9 @@ of a text are the running totals over its words, plus the counts in the word whe
 prefix ends: enough to answer, for any prefix and any budget, how many tokens there
 are, without encoding again.  Each task keeps a bounded table of distinct words.
 
-A word whose last count isn't the library's (equal scores could cause that) takes the
-library's counts for all its prefixes.
+Pieces that merge as soon as they arise, though a part of theirs ranks behind them
+(runs of markers), are checked against the library: a word that
+ends in another count takes the library's counts for all its prefixes.
 
 Null text counts as empty: 0 tokens at its only prefix.  Input columns stay; an
 output column replaces one of the same name.
@@ -19,7 +20,7 @@ output column replaces one of the same name.
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -27,7 +28,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tracewright.llm.sentencepiece_codec import MARK, MARKED_WORD, MAX_KEPT_CHARS, MAX_WORDS, check_separable, extended, model_spec, with_column
+from tracewright.llm.sentencepiece_codec import MARK, MARKED_WORD, MAX_KEPT_CHARS, check_separable, extended, model_spec, with_column
+
+MAX_WORDS = 1 << 20
+MAX_PAIRS = 1 << 19
+MAX_BLOCK_CHARS = 1 << 22
+
+
+class Pairs(dict):
+    """Whether two pieces stay as they are side by side, for the pairs met so far."""
+
+    def __init__(self, judge):
+        super().__init__()
+        self.judge = judge
+
+    def __missing__(self, pair: tuple[str, str]) -> bool:
+        if len(self) >= MAX_PAIRS:
+            self.clear()
+        self[pair] = found = self.judge(*pair)
+        return found
 
 
 class PrefixCounter(dict):
@@ -43,12 +62,29 @@ class PrefixCounter(dict):
         self.fallback = spec.trainer_spec.byte_fallback
         self.score = {p.piece: p.score for p in spec.pieces if p.type == 1}
         self.longest = max(map(len, self.score))
-        self.beside = lru_cache(1 << 18)(self._beside)
-
-    def merged(self, text: str) -> list[str]:
+        #: Of each piece that its own text is segmented into: its place in the order of merging, and the two parts merged last.
+        self.order: dict[str, int] = {}
+        self.halves: dict[str, tuple[str, str]] = {}
+        #: Pieces merged at once when a part arises that ought to merge later: their neighbours are judged by segmenting.
+        self.sudden: set[str] = set()
+        place = {s: i for i, s in enumerate(sorted(set(self.score.values()), reverse=True))}
+        for piece, score in self.score.items():
+            parts = self.merged(piece, until=2)
+            if len(piece) > 1 and (len(parts) != 2 or self.merged(piece) != [piece]):
+                continue
+            self.order[piece] = place[score] if len(piece) > 1 else -1
+            if len(piece) > 1:
+                self.halves[piece] = (parts[0], parts[1])
+        for piece, halves in self.halves.items():
+            if any(self.order.get(h, -1) >= self.order[piece] or h in self.sudden for h in halves):
+                self.sudden.add(piece)
+        self.stays = Pairs(self.beside)
+        self.latest: tuple[str, list[int], list[str]] = ("", [0], [""])
+
+    def merged(self, text: str, until: int = 1) -> list[str]:
         """The segmentation of a short text: the best pair merges first, the left one of equals."""
         parts, score = list(text), self.score
-        while len(parts) > 1:
+        while len(parts) > until:
             best = max(((score[a + b], -i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in score), default=None)
             if best is None:
                 break
@@ -56,28 +92,58 @@ class PrefixCounter(dict):
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return parts
 
-    def _beside(self, left: str, right: str) -> bool:
-        return self.merged(left + right) == ([left, right] if left else [right])
+    def beside(self, left: str, right: str) -> bool:
+        """Whether both pieces stay as they are side by side: undoing their merges, latest first, no merge across comes earlier."""
+        if left in self.sudden or right in self.sudden:
+            return self.merged(left + right) == [left, right]
+        order, halves = self.order, self.halves
+        before_left = before_right = 1 << 60
+        at_left, at_right = order.get(left, -1), order.get(right, -1)
+        while True:
+            across = order.get(left + right)
+            if across is not None and across < before_left and across <= before_right:
+                return False
+            if at_left > at_right:
+                before_left, left = at_left, halves[left][1]
+                at_left = order.get(left, -1)
+            elif at_right >= 0:
+                before_right, right = at_right, halves[right][0]
+                at_right = order.get(right, -1)
+            else:
+                return True
 
     def cost(self, piece: str) -> int:
         return len(piece.encode()) if self.fallback and piece not in self.score else 1
 
     def prefixes(self, word: str) -> list[int]:
-        """Counts at prefixes of 0, 1, .. characters of a word that starts with a marker."""
-        word, score, beside = word.replace(" ", MARK), self.score, self.beside
-        counts, last = [0] * (len(word) + 1), [""] * (len(word) + 1)
-        for end in range(1, len(word) + 1):
-            for start in range(max(0, end - self.longest), end):
+        """Counts at prefixes of 0, 1, .. characters of a word that starts with a marker.
+
+        Prefixes that it shares with the word asked for before are taken over.
+        """
+        word, order, stays, longest = word.replace(" ", MARK), self.order, self.stays, self.longest
+        done, counts, last = self.latest
+        same = 1
+        for a, b in zip(done, word, strict=False):
+            if a != b:
+                break
+            same += 1
+        counts, last = counts[:same], last[:same]
+        for end in range(same, len(word) + 1):
+            for start in range(end - longest if end > longest else 0, end):
                 piece = word[start:end]
-                if (piece in score or end - start == 1) and beside(last[start], piece):
-                    counts[end], last[end] = counts[start] + self.cost(piece), piece
+                if (piece in order or end - start == 1) and (start == 0 or stays[last[start], piece]):
+                    counts.append(counts[start] + (1 if piece in order else self.cost(piece)))
+                    last.append(piece)
                     break
-        if counts[-1] != (len(self.library.encode(word[1:])) or 1):
+        self.latest = word, counts, last
+        if not self.sudden.isdisjoint(last) and counts[-1] != (len(self.library.encode(word[1:])) or 1):
             return [0, *(len(self.library.encode(word[1:i])) or 1 for i in range(1, len(word) + 1))]
         return counts
 
-    def __missing__(self, word: str) -> list[int]:
-        counts = self.prefixes(word)
+    def __missing__(self, word: str) -> Sequence[int]:
+        counts: Sequence[int] = self.prefixes(word)
+        if counts[-1] < 256 and len(word) < 256:
+            counts = bytes(counts)  # a tenth of a list's memory
         if len(word) <= MAX_KEPT_CHARS:
             if len(self) >= MAX_WORDS:
                 self.clear()
@@ -85,6 +151,26 @@ class PrefixCounter(dict):
         return counts
 
 
+    def totals(self, texts: list[str | None]) -> list[int]:
+        """The counts of whole texts; new words are met in order, which shares their prefixes."""
+        parts = [MARKED_WORD.findall(" " + t.replace(MARK, " ")) if t else [] for t in texts]
+        for word in sorted(set().union(*parts).difference(self)):
+            self[word]
+        return [sum([self[w][-1] for w in p]) for p in parts]
+
+
+def blocks(texts: list[str | None], most: int = MAX_BLOCK_CHARS) -> Iterator[list[str | None]]:
+    """Consecutive runs of texts of about ``most`` characters."""
+    run, size = [], 0
+    for t in texts:
+        run.append(t)
+        size += len(t or "")
+        if size >= most:
+            yield run
+            run, size = [], 0
+    yield run
+
+
 @lru_cache(maxsize=4)
 def counter(path: str) -> PrefixCounter:
     return PrefixCounter(path)
@@ -128,9 +214,8 @@ def count_tokens(df: DataFrame, model: str, text: str = "text", out: str = "n_to
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = counter(model)
-        find = MARKED_WORD.findall
         for batch in batches:
-            totals = [sum([words[w][-1] for w in find(" " + t.replace(MARK, " "))]) if t else 0 for t in batch.column(text).to_pylist()]
+            totals = [n for block in blocks(batch.column(text).to_pylist()) for n in words.totals(block)]
             yield with_column(batch, out, pa.array(totals, pa.int64()))
 
     return df.mapInArrow(run, extended(df, out, T.LongType()))
