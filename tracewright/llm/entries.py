@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import sentencepiece_codec, token_counts
+from tracewright.llm import language_id, license_scan, sentencepiece_codec, token_counts, url_filter
 from tracewright.llm.common import table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -26,6 +26,57 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+URL_RULES = [
+    url_filter.Rule("block", "com", "/en/"),
+    url_filter.Rule("allow", "example.com", "/en/7"),
+    url_filter.Rule("allow", "net", "/de/"),
+    url_filter.Rule("block", "example.net", "/de/8"),
+    url_filter.Rule("block", "org", "/es/"),
+]
+BLOCKED_HOSTS = [f"{name}.example.{top}" for name in ("spam-farm", "cheap-pills") for top in ("com", "net", "org")]
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES, BLOCKED_HOSTS).drop("listed")
+
+
+OP2_SQL = f"""
+WITH parts AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), split AS (
+  SELECT page_id,
+    translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM parts
+), ruled AS (
+  SELECT *, CASE
+    WHEN '.' || host LIKE '%.example.com' AND starts_with(path, '/en/7') THEN 'example.com/en/7'
+    WHEN '.' || host LIKE '%.example.net' AND starts_with(path, '/de/8') THEN 'example.net/de/8'
+    WHEN '.' || host LIKE '%.com' AND starts_with(path, '/en/') THEN 'com/en/'
+    WHEN '.' || host LIKE '%.net' AND starts_with(path, '/de/') THEN 'net/de/'
+    WHEN '.' || host LIKE '%.org' AND starts_with(path, '/es/') THEN 'org/es/'
+  END AS rule FROM split
+)
+SELECT page_id, host, path, rule, CASE
+  WHEN rule IN ('example.com/en/7', 'net/de/') THEN 'allow'
+  WHEN rule IS NOT NULL THEN 'block'
+  WHEN {" OR ".join(f"'.' || host LIKE '%.{h}'" for h in BLOCKED_HOSTS)} THEN 'block'
+  ELSE 'allow' END AS verdict
+FROM ruled
+"""
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    net = language_id.trained(docs)
+    return language_id.predict(docs.select("doc_id", "text"), net).select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(table(spark, sf_dir, "documents"))
+    return found.withColumns({c: F.array_join(c, ",") for c in ("base_labels", "labels")}).drop("expressions")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.count_tokens(docs, PIECE_MODEL).select(
@@ -38,7 +89,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_url_filter": op2_url_filter,
+    "op4_language_id": op4_language_id,
+    "op9_license_scan": op9_license_scan,
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_url_filter": OP2_SQL,
+}
