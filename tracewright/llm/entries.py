@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import fingerprints, language_id, license_scan, mixing, sentencepiece_codec, token_counts, topk_search, url_filter
+from tracewright.llm import fingerprints, language_id, license_scan, minhash_dedup, mixing, sentencepiece_codec, token_counts, topk_search, url_filter
 from tracewright.llm.common import table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -76,6 +76,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs.select("doc_id", "text"), net).select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.groups(table(spark, sf_dir, "documents"))
+
+
 def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
@@ -121,6 +125,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filter": op2_url_filter,
     "op3_fingerprints": op3_fingerprints,
     "op4_language_id": op4_language_id,
+    "op5_minhash_dedup": op5_minhash_dedup,
     "op7_topk_search": op7_topk_search,
     "op8_mixing": op8_mixing,
     "op9_license_scan": op9_license_scan,
