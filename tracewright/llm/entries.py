@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import fingerprints, language_id, license_scan, minhash_dedup, mixing, sentencepiece_codec, token_counts, topk_search, url_filter
+from tracewright.llm import fingerprints, language_id, license_scan, minhash_dedup, mixing, repeat_removal, sentencepiece_codec, token_counts, topk_search, url_filter
 from tracewright.llm.common import table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -80,6 +80,10 @@ def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.groups(table(spark, sf_dir, "documents"))
 
 
+def op6_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_removal.removals(table(spark, sf_dir, "documents"))
+
+
 def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
@@ -126,6 +130,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_fingerprints": op3_fingerprints,
     "op4_language_id": op4_language_id,
     "op5_minhash_dedup": op5_minhash_dedup,
+    "op6_repeat_removal": op6_repeat_removal,
     "op7_topk_search": op7_topk_search,
     "op8_mixing": op8_mixing,
     "op9_license_scan": op9_license_scan,
