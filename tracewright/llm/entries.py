@@ -13,12 +13,12 @@ from tracewright.llm.common import table
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 TOKEN_LIMIT = 4096
+WEIGHTS = (5, 2, 1)
 
 
-def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = sentencepiece_codec.encode(docs, PIECE_MODEL).select("doc_id", "ids")
-    return sentencepiece_codec.decode(coded, PIECE_MODEL).select(
+def coded_digests(coded: DataFrame) -> DataFrame:
+    """doc_id, n_tokens and the digests of rows with ids and decoded text."""
+    return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
@@ -26,6 +26,12 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = sentencepiece_codec.encode(docs, PIECE_MODEL).select("doc_id", "ids")
+    return coded_digests(sentencepiece_codec.decode(coded, PIECE_MODEL))
+
+
 URL_RULES = [
     url_filter.Rule("block", "com", "/en/"),
     url_filter.Rule("allow", "example.com", "/en/7"),
@@ -105,7 +111,7 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), WEIGHTS)
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 

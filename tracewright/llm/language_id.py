@@ -30,6 +30,7 @@ WIDTHS = (2, 3, 4)
 FILTERS = 16
 EMBEDDING = 8
 BLOCK = 128
+LEAST_STEPS = 300
 HASH_STEPS = 1 << 30
 
 
@@ -163,12 +164,13 @@ def fit(texts: Sequence[str], labels: Sequence[str], windows_each: int = 6, epoc
     x, y = np.stack(codes), np.array(gold)
     slow = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.weights.items() if k != "mask"}
     step = 0
+    epochs = max(epochs, -(-LEAST_STEPS * BLOCK // len(x)))
     for epoch in range(epochs):
         order = rng.permutation(len(x))
         for i in range(0, len(order), BLOCK):
             step += 1
             pick = order[i : i + BLOCK]
-            rate = 0.01 * (0.5**epoch)
+            rate = 0.01 * 0.5 ** (5 * epoch / epochs)
             for k, g in net.gradients(x[pick], y[pick]).items():
                 m, v = slow[k]
                 m += 0.1 * (g - m)
