@@ -9,13 +9,15 @@
    well is linked to nothing.  For larger sets this fails with the chance that fewer than
    LEAST_SHARED of KEPT draws fall into an intersection of 0.85 of the union, 1.4e-8
    at most.
-3. The nodes left take part with their whole sets.  Values are ordered from the rarest; a
-   pair that is linked must meet in the first ``n - ceil(0.85 n) + 1`` values of both, and
-   at its first common value no more values may lie before than the two may differ in.
-   A list of up to ``SHORT`` nodes is compared pair by pair.  In a longer list, all are
-   compared with the node that has fewest rare values; after that, only nodes outside its
-   component are compared with the rest of the list.  So a group of near copies costs
-   about a comparison for each member, and no list is cut.
+3. The nodes left take part with their whole sets.  In any order of all values, a pair that
+   is linked must meet in the first ``n - ceil(0.85 n) + 1`` values of both, and at its
+   first common value no more values may lie before than the two may differ in.  The order
+   of the hashes comes first; a list of up to ``SHORT`` nodes is compared pair by pair.
+   Nodes in longer lists meet again among themselves in the order from the rarest value,
+   in which edited copies part early.  In lists that are long even so, all are compared
+   with the node that has fewest rare values; after that, only nodes outside its component
+   are compared with the rest of the list.  So a group of near copies costs about
+   a comparison for each member, and no list is cut.
 4. The union sketch of a pair estimates its likeness; pairs that can't reach the threshold
    end there, all others are confirmed on their whole sets.
 5. Components are found by passing on the smallest label and following labels' labels.
@@ -104,6 +106,28 @@ def keys_of(sets: DataFrame, percent: int) -> DataFrame:
     return cut.select("nid", "n", "lone", F.posexplode("o").alias("at", "x")).select(F.col("x.v").alias("v"), "nid", "n", (F.col("lone") + F.col("at")).alias("place"))
 
 
+def prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """v, nid, n, place: the smallest values, by one of which a node must meet a linked one."""
+    length = F.col("n") - must_share("n", percent) + 1
+    return sets.select("nid", "n", F.posexplode(F.slice("s", F.lit(1), length.cast("int"))).alias("place", "v")).select("v", "nid", "n", F.col("place").cast("long").alias("place"))
+
+
+def in_lists(keys: DataFrame) -> DataFrame:
+    """v, nid, n, place, and of the value's list its length m and its head, for values that several nodes have."""
+    keys = materialize(keys)
+    heads = keys.groupBy("v").agg(F.count("*").alias("m"), F.min(F.struct("place", "n", "nid")).alias("head")).where("m > 1")
+    lists = materialize(keys.join(heads, "v").select("v", "nid", "n", "place", "m", F.col("head.nid").alias("head")))
+    discard(keys)
+    return lists
+
+
+def short_pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """The pairs a < b that lists of up to SHORT nodes leave open."""
+    x, y = (lists.where(F.col("m") <= SHORT).alias(name) for name in "xy")
+    meets = (F.col("x.v") == F.col("y.v")) & (F.col("x.nid") < F.col("y.nid")) & may_link("x.", "y.", percent)
+    return x.join(y, meets).select(F.col("x.nid").alias("a"), F.col("y.nid").alias("b"))
+
+
 def may_link(a: str, b: str, percent: int):
     """By sizes, and by the places of the first common value."""
     sizes = F.expr(f"100 * least({a}n, {b}n) >= {percent} * greatest({a}n, {b}n)")
@@ -153,13 +177,12 @@ def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     sets = whole_sets(docs, hopeful)
     discard(hopeful)
 
-    keys = materialize(keys_of(sets, percent))
-    heads = keys.groupBy("v").agg(F.count("*").alias("m"), F.min(F.struct("place", "n", "nid")).alias("head")).where("m > 1")
-    lists = materialize(keys.join(heads, "v").select("v", "nid", "n", "place", "m", F.col("head.nid").alias("head")))
-    discard(keys)
-    short, long_lists = lists.where(F.col("m") <= SHORT), lists.where(F.col("m") > SHORT)
-    x, y = short.alias("x"), short.alias("y")
-    pairs = x.join(y, (F.col("x.v") == F.col("y.v")) & (F.col("x.nid") < F.col("y.nid")) & may_link("x.", "y.", percent)).select(F.col("x.nid").alias("a"), F.col("y.nid").alias("b"))
+    lists = in_lists(prefixes(sets, percent))
+    pairs = short_pairs(lists, percent)
+    hot = materialize(lists.where(F.col("m") > SHORT).select("nid").distinct())
+    hot_lists = in_lists(keys_of(sets.join(hot, "nid", "left_semi"), percent))
+    long_lists = hot_lists.where(F.col("m") > SHORT)
+    pairs = pairs.union(short_pairs(hot_lists, percent))
     with_head = long_lists.where(F.col("nid") != F.col("head")).select(F.least("nid", "head").alias("a"), F.greatest("nid", "head").alias("b"))
     links = materialize(confirmed(pairs.union(with_head).distinct(), sets, percent))
     labels = components(links)
