@@ -16,8 +16,8 @@ strings are found as follows (the README has the reasons and figures).
 4. Larger groups never meet in a task.  Their offsets are cut into ``PARTS`` ranges.  What
    all strings of a range hold in common is counted, and ranges where it is single are
    dropped; what they span together is counted, and where it occurs again all of
-   them do.  Only ranges in between are resolved string by string, by counting hashes,
-   among which each repeated span counts once.
+   them do.  Only ranges in between are cut again, down to single strings; each repeated
+   span is represented there once.
 5. The strings' spans are joined for each text.
 
 Copies of a whole text are one node in all this; a text of at least ``length`` bytes that
@@ -43,7 +43,7 @@ from tracewright.llm.common import BYTE_CODES, POWERS, U64, materialize, mix64,
 LENGTH = 400
 GRAM = 32
 LARGE = 2048
-PARTS = 12
+PARTS = 8
 CHUNK = 2048
 
 
@@ -168,6 +168,11 @@ class Contexts:
         a, b = starts + self.most, ends + self.most
         return mix64((self.sums[:, b] - self.sums[:, a]) * self.down[a][None, :] + (b - a).astype(U64)[None, :] * U64(0x9E3779B97F4A7C15))
 
+    def span(self, rows: np.ndarray, start: int, end: int) -> np.ndarray:
+        """The hashes of one span of some anchors."""
+        a, b = start + self.most, end + self.most
+        return (self.sums[rows, b] - self.sums[rows, a]) * self.down[a]
+
     def strings(self, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the strings that start ``offsets`` bytes before the anchor, and which lie in the text."""
         inside = (offsets[None, :] <= self.left[:, None]) & (self.length - offsets[None, :] <= self.right[:, None])
@@ -221,60 +226,66 @@ def compare_groups(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[p
         yield compared(held)
 
 
-def part_edges(length: int) -> list[tuple[int, int]]:
-    """First and last offsets of the ranges that larger groups are resolved by."""
-    edges = np.linspace(0, length - min(GRAM, length) + 1, PARTS + 1).astype(int)
-    return [(int(a), int(b) - 1) for a, b in zip(edges[:-1], edges[1:], strict=True) if b > a]
+def cut(low, high):
+    """Offsets from low to high in at most PARTS ranges of equal width, but for the last."""
+    width = F.ceil((high - low + 1) / F.lit(PARTS))
+    return F.transform(F.sequence(low, high, width), lambda x: F.struct(x.alias("low"), F.least(x + width - 1, high).alias("high")))
+
+
+def range_hashes(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Of each anchor and each of its ranges of offsets: the hash of what all strings there hold in common (core),
+    and of what they span together (hull; null if it reaches out of the text)."""
+    names = ["nid", "place", "low", "high", "core", "hull"]
+    for batch in batches:
+        nids, places = (np.array(batch.column(n).to_pylist(), dtype=np.int64) for n in ("nid", "place"))
+        own = Contexts(batch.column("around").to_pylist(), np.array(batch.column("left").to_pylist(), dtype=np.int64), length)
+        rows: dict[tuple[int, int], list[int]] = {}
+        for i, ranges in enumerate(batch.column("ranges").to_pylist()):
+            for r in ranges:
+                rows.setdefault((r["low"], r["high"]), []).append(i)
+        out: list[list] = [[] for _ in names]
+        for (low, high), at in rows.items():
+            own_rows = np.array(at)
+            left, right = own.left[own_rows], own.right[own_rows]
+            own_rows = own_rows[(low <= left) & (length - high <= right)]
+            left, right = own.left[own_rows], own.right[own_rows]
+            salt = U64(low << 20 | high)
+            core = mix64(own.span(own_rows, -low, length - high) ^ salt).view(np.int64)
+            hull = mix64(own.span(own_rows, -high, length - low) ^ salt).view(np.int64)
+            outside = (high > left) | (length - low > right)
+            n = len(own_rows)
+            for column, value in zip(out, (nids[own_rows], places[own_rows], np.full(n, low), np.full(n, high), core, np.ma.array(hull, mask=outside)), strict=True):
+                column.append(value)
+        if out[0]:
+            columns = [pa.array(np.concatenate(c).astype(np.int64)) for c in out[:5]]
+            hulls = np.ma.concatenate(out[5])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(hulls.data, mask=np.ma.getmaskarray(hulls))], names=names)
 
 
 def large_groups(large: DataFrame, length: int) -> DataFrame:
     """The spans of anchors whose grams are very frequent, by counting alone."""
-    parts = part_edges(length)
-    low, high = np.array([a for a, _ in parts]), np.array([b for _, b in parts])
 
-    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            nids, places, lefts, around = (batch.column(n).to_pylist() for n in ("nid", "place", "left", "around"))
-            own = Contexts(around, np.array(lefts, dtype=np.int64), length)
-            core, hull = own.spans(-low, length - high), own.spans(-high, length - low)
-            core_in = (low[None, :] <= own.left[:, None]) & (length - high[None, :] <= own.right[:, None])
-            hull_in = (high[None, :] <= own.left[:, None]) & (length - low[None, :] <= own.right[:, None])
-            i, p = np.nonzero(core_in)
-            salt = mix64(np.arange(len(parts), dtype=U64) + U64(99))
-            hulls = pa.array((hull ^ salt).view(np.int64)[i, p], mask=~hull_in[i, p])
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(nids, dtype=np.int64)[i]), pa.array(np.array(places, dtype=np.int64)[i]), pa.array(p.astype(np.int32)), pa.array((core ^ salt).view(np.int64)[i, p]), hulls], names=["nid", "place", "part", "core", "hull"])
-
-    cut = materialize(large.mapInArrow(ranges, "nid long, place long, part int, core long, hull long"))
-    cores = cut.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
-    hulls = materialize(cut.where("hull IS NOT NULL").groupBy("hull").agg(F.count("*").alias("n"), F.min(F.struct("nid", "place", "part")).alias("one")).where("n > 1").select("hull", F.lit(True).alias("all"), "one"))
-    judged = materialize(cut.join(cores, "core", "left_semi").join(hulls.select("hull", "all"), "hull", "left").select("nid", "place", "part", F.coalesce("all", F.lit(False)).alias("all")))
-    lows, highs = (F.array(*(F.lit(x) for x in e.tolist()))[F.col("part")] for e in (low, high))
-    whole = judged.where("all").select("nid", (F.col("place") - highs).alias("first"), (F.col("place") - lows + length).alias("last"))
-
-    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            nids, places, lefts, around, open_parts = (batch.column(n).to_pylist() for n in ("nid", "place", "left", "around", "parts"))
-            own = Contexts(around, np.array(lefts, dtype=np.int64), length)
-            out: list[list[np.ndarray]] = [[], [], [], []]
-            for p, (a, b) in enumerate(parts):
-                pick = np.array([p in x for x in open_parts])
-                if not pick.any():
-                    continue
-                offsets = np.arange(a, b + 1)
-                hashes, inside = own.strings(offsets)
-                i, o = np.nonzero(inside & pick[:, None])
-                salt = mix64(offsets.astype(U64) + U64(999))
-                for column, value in zip(out, (np.array(nids, dtype=np.int64)[i], np.array(places, dtype=np.int64)[i], offsets[o], (hashes ^ salt).view(np.int64)[i, o]), strict=True):
-                    column.append(value)
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["nid", "place", "offset", "string"])
-
-    unsure = judged.where(~F.col("all")).select("nid", "place", "part").union(hulls.select("one.*"))  # one stands for its equals
-    unsure = unsure.groupBy("nid", "place").agg(F.collect_list("part").alias("parts"))
-    single = materialize(large.join(unsure, ["nid", "place"]).select("nid", "place", "left", "around", "parts").mapInArrow(strings, "nid long, place long, offset long, string long"))
-    again = single.groupBy("string").agg(F.count("*").alias("n")).where("n > 1").select("string")
-    alike = single.join(again, "string", "left_semi")
-    return whole.union(alike.select("nid", (F.col("place") - F.col("offset")).alias("first"), (F.col("place") - F.col("offset") + length).alias("last")))
+    def span(first, last):
+        return [(F.col("place") - last).alias("first"), (F.col("place") - first + length).alias("last")]
+
+    most = length - min(GRAM, length)
+    members = large.select("nid", "place", "left", "around", cut(F.lit(0).cast("long"), F.lit(most).cast("long")).alias("ranges"))
+    spans: DataFrame | None = None
+    width = most + 1
+    while True:
+        width = -(-width // PARTS)
+        hashed = materialize(members.mapInArrow(lambda batches: range_hashes(batches, length), "nid long, place long, low long, high long, core long, hull long"))
+        hulls = hashed.where("hull IS NOT NULL").groupBy("hull").agg(F.count("*").alias("n"), F.min(F.struct("nid", "place", "low", "high")).alias("one")).where("n > 1")
+        hulls = materialize(hulls.select("hull", "one"))
+        again = hashed.join(hulls.select("hull"), "hull", "left_semi").select("nid", *span(F.col("low"), F.col("high")))
+        spans = again if spans is None else spans.union(again)
+        if width == 1:
+            return spans
+        cores = hashed.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
+        unsure = hashed.join(hulls.select("hull"), "hull", "left_anti").join(cores, "core", "left_semi").select("nid", "place", "low", "high")
+        unsure = unsure.union(hulls.select("one.*"))  # one stands for its equals
+        narrower = unsure.select("nid", "place", F.explode(cut(F.col("low"), F.col("high"))).alias("r")).groupBy("nid", "place").agg(F.collect_list("r").alias("ranges"))
+        members = large.join(narrower, ["nid", "place"]).select("nid", "place", "left", "around", "ranges")
 
 
 def around_anchors(hits: DataFrame, length: int) -> DataFrame:
