@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import U64, discard, materialize, mix64
+from tracewright.llm.common import U64, discard, materialize, mix64, release
 from tracewright.llm.shingles import shingles
 
 KEPT = 48
@@ -115,9 +115,11 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
 def in_lists(keys: DataFrame) -> DataFrame:
     """v, nid, n, place, and of the value's list its length m and its head, for values that several nodes have."""
     keys = materialize(keys)
+    release(keys.sparkSession)
     heads = keys.groupBy("v").agg(F.count("*").alias("m"), F.min(F.struct("place", "n", "nid")).alias("head")).where("m > 1")
     lists = materialize(keys.join(heads, "v").select("v", "nid", "n", "place", "m", F.col("head.nid").alias("head")))
     discard(keys)
+    release(keys.sparkSession)
     return lists
 
 
@@ -168,14 +170,17 @@ def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     base = materialize(sketched(docs))
     nodes = base.where("n > 0").groupBy("h1", "h2").agg(F.first("n").alias("n"), F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"))
     nodes = materialize(nodes.withColumn("nid", F.monotonically_increasing_id()))
+    release(docs.sparkSession)
 
     retained = nodes.select("nid", F.explode("sketch").alias("v"))
     shared = retained.groupBy("v").agg(F.count("*").alias("df")).where("df > 1").select("v")
     met = retained.join(shared, "v").groupBy("nid").agg(F.count("*").alias("met"))
     least = F.when(F.col("n") <= KEPT, must_share("n", percent)).otherwise(LEAST_SHARED)
     hopeful = materialize(nodes.drop("sketch").join(met, "nid").where(F.col("met") >= least).select("nid", "h1", "h2", "rep"))
+    release(docs.sparkSession)
     sets = whole_sets(docs, hopeful)
     discard(hopeful)
+    release(docs.sparkSession)
 
     lists = in_lists(prefixes(sets, percent))
     pairs = short_pairs(lists, percent)
@@ -185,6 +190,7 @@ def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     pairs = pairs.union(short_pairs(hot_lists, percent))
     with_head = long_lists.where(F.col("nid") != F.col("head")).select(F.least("nid", "head").alias("a"), F.greatest("nid", "head").alias("b"))
     links = materialize(confirmed(pairs.union(with_head).distinct(), sets, percent))
+    release(docs.sparkSession)
     labels = components(links)
 
     labelled = long_lists.join(labels, "nid", "left").withColumn("label", F.coalesce("label", "nid"))

@@ -38,11 +38,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import BYTE_CODES, POWERS, U64, materialize, mix64, n_partitions, prefix_sums
+from tracewright.llm.common import BYTE_CODES, POWERS, U64, materialize, mix64, n_partitions, prefix_sums, release
 
 LENGTH = 400
 GRAM = 32
-LARGE = 2048
+LARGE = 4096
 PARTS = 8
 CHUNK = 2048
 
@@ -282,7 +282,7 @@ def large_groups(large: DataFrame, length: int) -> DataFrame:
         if width == 1:
             return spans
         cores = hashed.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
-        unsure = hashed.join(hulls.select("hull"), "hull", "left_anti").join(cores, "core", "left_semi").select("nid", "place", "low", "high")
+        unsure = hashed.join(cores, "core", "left_semi").join(hulls.select("hull"), "hull", "left_anti").select("nid", "place", "low", "high")
         unsure = unsure.union(hulls.select("one.*"))  # one stands for its equals
         narrower = unsure.select("nid", "place", F.explode(cut(F.col("low"), F.col("high"))).alias("r")).groupBy("nid", "place").agg(F.collect_list("r").alias("ranges"))
         members = large.join(narrower, ["nid", "place"]).select("nid", "place", "left", "around", "ranges")
@@ -326,6 +326,7 @@ class Repeats:
         self.rows = materialize(anchored(docs, length))
         nodes = self.rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_bytes").alias("n_bytes"), F.first("places").alias("places"), F.first("grams").alias("grams"))
         self.nodes = materialize(nodes.withColumn("nid", F.monotonically_increasing_id()))
+        release(docs.sparkSession)
         zipped = F.explode(F.arrays_zip("places", "grams")).alias("x")
         every = self.nodes.where(F.size("places") > 0).select("nid", zipped).select("nid", F.col("x.places").alias("place"), F.col("x.grams").alias("gram"))
         counts = every.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1")
@@ -334,10 +335,12 @@ class Repeats:
         texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *(k.alias(f"own_{i}") for i, k in enumerate(text_keys())))
         same = F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("own_0") == F.col("h1")) & (F.col("own_1") == F.col("h2"))
         self.hits = materialize(texts.join(found, same).select("nid", "text", "anchors"))
+        release(docs.sparkSession)
         around = around_anchors(self.hits, length)
         small = around.where(F.col("m") <= LARGE).repartition(n_partitions(docs.sparkSession), "gram").sortWithinPartitions("gram")
         in_memory = small.mapInArrow(lambda batches: compare_groups(batches, length), SPANS)
         pieces = materialize(in_memory)
+        release(docs.sparkSession)
         if (large := materialize(around.where(F.col("m") > LARGE))).limit(1).count():
             pieces = pieces.union(large_groups(large, length))
         lists = pieces.groupBy("nid").agg(F.collect_set(F.struct("first", "last")).alias("pieces"))
