@@ -14,7 +14,7 @@ there was no labelled text to learn from.  Repeated rows get equal answers.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -30,6 +30,7 @@ WIDTHS = (2, 3, 4)
 FILTERS = 16
 EMBEDDING = 8
 BLOCK = 128
+TEXTS_AT_ONCE = 512
 LEAST_STEPS = 300
 HASH_STEPS = 1 << 30
 
@@ -192,15 +193,20 @@ def sample(df: DataFrame, key: str, text: str, label: str, max_documents: int) -
 
 def predict(df: DataFrame, net: ByteConvNet, text: str = "text") -> DataFrame:
     """Adds lang_pred and score; columns of these names are replaced."""
-    names = [f for f in df.columns if f not in ("lang_pred", "score")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            labels, scores = net.predict(batch.column(text).to_pylist())
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(labels, pa.string()), pa.array(scores, pa.float64())], names=[*names, "lang_pred", "score"])
-
-    schema = T.StructType([*df.select(*names).schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return df.mapInArrow(run, schema)
+    kind = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+
+    @F.arrow_udf(kind)
+    def judge(texts: pa.Array) -> pa.Array:
+        labels, scores = [], []
+        for i in range(0, len(texts), TEXTS_AT_ONCE):
+            found = net.predict(texts[i : i + TEXTS_AT_ONCE].to_pylist())
+            labels += found[0]
+            scores += found[1]
+        return pa.StructArray.from_arrays([pa.array(labels, pa.string()), pa.array(scores, pa.float64())], names=["lang_pred", "score"])
+
+    # the texts alone go to Python, and nothing but answers comes back
+    judged = df.drop("lang_pred", "score").withColumn("__judged", judge(F.col(text)))
+    return judged.select("*", "__judged.lang_pred", "__judged.score").drop("__judged")
 
 
 def held_out(key: str = "doc_id"):
