@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 U64 = np.uint64
 MASK = (1 << 64) - 1
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +60,13 @@ def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def modest_batches(spark: SparkSession) -> None:
+    """Lets whole texts go to Python in batches of at most BATCH_ROWS rows, for the session."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The finalizer of splitmix64 over an array of uint64."""
     x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)

@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracewright.llm.common import modest_batches
+
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
 WINDOW = 256
@@ -193,6 +195,7 @@ def sample(df: DataFrame, key: str, text: str, label: str, max_documents: int) -
 
 def predict(df: DataFrame, net: ByteConvNet, text: str = "text") -> DataFrame:
     """Adds lang_pred and score; columns of these names are replaced."""
+    modest_batches(df.sparkSession)
     kind = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     @F.arrow_udf(kind)

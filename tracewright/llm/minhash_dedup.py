@@ -35,12 +35,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import U64, discard, materialize, mix64, release
+from tracewright.llm.common import U64, discard, modest_batches, materialize, mix64, release
 from tracewright.llm.shingles import shingles
 
 KEPT = 48
 LEAST_SHARED = 25
-SHORT = 32
+SHORT = 128
 PERCENT = 85
 
 
@@ -140,12 +140,16 @@ def may_link(a: str, b: str, percent: int):
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs a, b that are linked, by estimate and then on whole sets."""
-    a = sets.select(F.col("nid").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"))
-    b = sets.select(F.col("nid").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb"))
-    both_kept = F.size(F.array_intersect(F.slice("sa", 1, KEPT), F.slice("sb", 1, KEPT)))
-    hopeful = pairs.join(a, "a").join(b, "b").where((F.least("na", "nb") < KEPT) | (both_kept >= LEAST_SHARED))
+    def side(name: str, values) -> DataFrame:
+        return sets.select(F.col("nid").alias(name), F.col("n").alias(f"n{name}"), values.alias(f"s{name}"))
+
+    few = F.slice("s", 1, KEPT)
+    sketches = pairs.join(side("a", few), "a").join(side("b", few), "b")
+    both_kept = F.size(F.array_intersect("sa", "sb"))
+    hopeful = sketches.where((F.least("na", "nb") < KEPT) | (both_kept >= LEAST_SHARED)).select("a", "b")
+    whole = hopeful.join(side("a", F.col("s")), "a").join(side("b", F.col("s")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
-    return hopeful.where(100 * common >= percent * (F.col("na") + F.col("nb") - common)).select("a", "b")
+    return whole.where(100 * common >= percent * (F.col("na") + F.col("nb") - common)).select("a", "b")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -167,6 +171,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row of docs (columns doc_id and text)."""
+    modest_batches(docs.sparkSession)
     base = materialize(sketched(docs))
     nodes = base.where("n > 0").groupBy("h1", "h2").agg(F.first("n").alias("n"), F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"))
     nodes = materialize(nodes.withColumn("nid", F.monotonically_increasing_id()))

@@ -38,13 +38,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import BYTE_CODES, POWERS, U64, materialize, mix64, n_partitions, prefix_sums, release
+from tracewright.llm.common import BYTE_CODES, POWERS, U64, materialize, mix64, modest_batches, n_partitions, prefix_sums, release
 
 LENGTH = 400
 GRAM = 32
-LARGE = 4096
-PARTS = 8
+#: A group's prefix hashes take 6 KB an anchor: 100 MB at most.
+LARGE = 1 << 14
+PARTS = 4
 CHUNK = 2048
+#: Offsets whose hashes are compared at once.
+COLUMNS = 64
 
 
 def bwt_repeats(data: bytes, length: int) -> np.ndarray:
@@ -195,17 +198,18 @@ def compare_groups(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[p
 
     def compared(rows: list[tuple]) -> pa.RecordBatch:
         own = Contexts([r[4] for r in rows], np.array([r[3] for r in rows]), length)
-        hashes, inside = own.strings(offsets)
-        hashes[~inside] = mix64(np.flatnonzero(~inside).astype(U64))  # strings that reach out of their text equal none
-        order = np.argsort(hashes, axis=0)
-        ordered = np.take_along_axis(hashes, order, 0)
-        same = ordered[1:] == ordered[:-1]
-        marked = np.zeros(hashes.shape, dtype=bool)
-        marked[1:] |= same
-        marked[:-1] |= same
-        found = np.zeros(hashes.shape, dtype=bool)
-        np.put_along_axis(found, order, marked, 0)
-        found &= inside
+        found = np.zeros((len(rows), len(offsets)), dtype=bool)
+        for c in range(0, len(offsets), COLUMNS):
+            hashes, inside = own.strings(offsets[c : c + COLUMNS])
+            hashes[~inside] = mix64(np.flatnonzero(~inside).astype(U64))  # strings that reach out of their text equal none
+            order = np.argsort(hashes, axis=0)
+            ordered = np.take_along_axis(hashes, order, 0)
+            same = ordered[1:] == ordered[:-1]
+            marked = np.zeros(hashes.shape, dtype=bool)
+            marked[1:] |= same
+            marked[:-1] |= same
+            np.put_along_axis(found[:, c : c + COLUMNS], order, marked, 0)
+            found[:, c : c + COLUMNS] &= inside
         out = [(r[1], r[2] - b, r[2] - a + length) for i, r in enumerate(rows) if found[i].any() for a, b in runs(found[i])]
         return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(3)], names=["nid", "first", "last"])
 
@@ -323,6 +327,7 @@ class Repeats:
 
     def __init__(self, docs: DataFrame, length: int = LENGTH):
         self.length = length
+        modest_batches(docs.sparkSession)
         self.rows = materialize(anchored(docs, length))
         nodes = self.rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_bytes").alias("n_bytes"), F.first("places").alias("places"), F.first("grams").alias("grams"))
         self.nodes = materialize(nodes.withColumn("nid", F.monotonically_increasing_id()))

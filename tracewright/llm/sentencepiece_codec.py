@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tracewright.llm.common import modest_batches
+
 MARK = "▁"
 MAX_WORDS = 1 << 19
 MAX_KEPT_CHARS = 64
@@ -121,6 +123,7 @@ def extended(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
 
 def encode(df: DataFrame, model: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Adds the ids of each whole text as the library gives them, without begin or end ids."""
+    modest_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packed = codec(model).packed
