@@ -287,3 +287,103 @@ def suppressed_conflicts(spark, sf_dir):
 def field_usage(spark, sf_dir):
     c = corpus(spark, sf_dir)
     return stats.field_usage(c, c.nodes.select("path", F.col("date").alias("day")))
+
+
+def earlier(spark, sf_dir):
+    """The state before the orders of 1996: without them, and with proposals for what was accepted in 1995."""
+    from dataclasses import replace
+
+    c = corpus(spark, sf_dir)
+    late = F.col("date") >= "1996-01-01"
+    changed = (F.col("date") >= "1995-01-01") & (F.col("status") == "accepted")
+    nodes = c.nodes.where(~F.coalesce(late, F.lit(False))).withColumn("status", F.when(changed, "proposed").otherwise(F.col("status")))
+    kept = nodes.select("id")
+    edges = c.edges.join(kept.withColumnRenamed("id", "src"), "src", "left_semi").select("src", "dst", "type", "origin", "attrs")
+    return replace(c, nodes=nodes, edges=edges)
+
+
+BEFORE = """before AS (
+  SELECT id, CASE WHEN coalesce(day >= '1995-01-01', false) AND status = 'accepted' THEN 'proposed' ELSE status END AS status FROM nodes WHERE NOT coalesce(day >= '1996-01-01', false)
+)"""
+
+
+@query("diff_documents", """SELECT CASE WHEN b.id IS NULL THEN 'added' ELSE 'status' END AS op, n.id, b.status AS before, n.status AS after
+  FROM nodes n LEFT JOIN before b USING (id) WHERE b.id IS NULL OR b.status <> n.status""", more=BEFORE)
+def diff_documents(spark, sf_dir):
+    from tracewright.operators import history
+
+    return history.document_changes(earlier(spark, sf_dir), corpus(spark, sf_dir))
+
+
+@query("diff_edges", "SELECT 'added' AS op, type, src, dst FROM edges WHERE src NOT IN (SELECT id FROM before)", more=BEFORE)
+def diff_edges(spark, sf_dir):
+    from tracewright.operators import history
+
+    return history.edge_changes(earlier(spark, sf_dir), corpus(spark, sf_dir))
+
+
+@query("dangling_edges_by_type", "SELECT type, CAST(count(*) AS BIGINT) AS n FROM edges WHERE dst NOT IN (SELECT id FROM nodes) GROUP BY 1")
+def dangling_edges_by_type(spark, sf_dir):
+    c = corpus(spark, sf_dir)
+    return c.edges.join(c.nodes.select(F.col("id").alias("dst")), "dst", "left_anti").groupBy("type").agg(F.count("*").alias("n"))
+
+
+@query("first_declared", "SELECT src, dst, CASE WHEN bool_or(layer = 'edges') THEN 'structured' ELSE 'derived:text' END AS origin FROM (SELECT src, dst, 'edges' AS layer FROM edges WHERE type IN ('about', 'rationale') UNION ALL SELECT src, dst, 'refs' FROM refs) GROUP BY 1, 2")
+def first_declared(spark, sf_dir):
+    from tracewright.operators.corpus import first_declared as first
+
+    c = corpus(spark, sf_dir)
+    declared = c.edges.where("type IN ('about', 'rationale')").select("src", "dst", "origin", F.lit(2).alias("seq"))
+    mentioned = c.refs.select("src", "dst", F.lit("derived:text").alias("origin"), F.lit(1).alias("seq"))
+    both = declared.unionByName(mentioned).withColumn("type", F.lit("any"))
+    return first(both).select("src", "dst", "origin")
+
+
+@query("next_identity", "SELECT lpad(CAST(max(CAST(id AS BIGINT)) + 1 AS VARCHAR), 4, '0') AS id FROM clauses WHERE length(CAST(CAST(id AS BIGINT) + 1 AS VARCHAR)) >= 4 OR true")
+def next_identity(spark, sf_dir):
+    from tracewright.functions.identity import next_identity as following
+
+    return corpus(spark, sf_dir).nodes.where("kind = 'clause'").agg(following(F.col("id"), 4).alias("id"))
+
+
+@query("identities", """SELECT c_custkey, CASE WHEN length(bare) >= 4 THEN bare ELSE lpad(bare, 4, '0') END AS identity FROM (
+  SELECT c_custkey, regexp_replace(regexp_extract(c_name, '[0-9]+'), '^0+([0-9])', '\\1') AS bare FROM customer)""")
+def identities(spark, sf_dir):
+    from tracewright.functions.identity import numbered_identity
+
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", numbered_identity(F.concat(F.lit("docs/12/"), F.col("c_name"), F.lit(".md")), 4).alias("identity"))
+
+
+@query("text_functions", """SELECT doc_id, CAST(ceil(octet_length(encode(text)) / 4.0) AS BIGINT) AS tokens,
+  length(trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))) > 40 AS cut FROM documents""")
+def text_functions(spark, sf_dir):
+    from tracewright.functions import text as T
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select("doc_id", T.tokens(F.col("text")).alias("tokens"), T.label(F.col("text")).endswith("...").alias("cut"))
+
+
+@query("touching", """SELECT DISTINCT e.src AS id, e.dst AS other FROM edges e WHERE dst NOT IN (SELECT id FROM nodes) AND src IN (
+  SELECT id FROM nodes WHERE kind = 'principle' UNION SELECT src FROM edges WHERE dst IN (SELECT id FROM nodes WHERE kind = 'principle') UNION SELECT dst FROM edges WHERE src IN (SELECT id FROM nodes WHERE kind = 'principle'))""")
+def touching(spark, sf_dir):
+    c = corpus(spark, sf_dir)
+    rows = checks.touching(c, checks.dangling_ref(c), ["principle"])
+    return rows.select("id", F.regexp_extract("detail", "leads to ([^,]+),", 1).alias("other")).distinct()
+
+
+@query("parse_documents", "SELECT id, status, modality, tier, expires, array_to_string(tags, ',') AS tags FROM clauses")
+def parse_documents(spark, sf_dir):
+    """Clauses are written as Markdown and read back."""
+    from tracewright.sources import markdown
+    from tracewright.views import config
+
+    c = corpus(spark, sf_dir)
+    own = c.nodes.where("kind = 'clause'")
+    lines = F.map_entries(F.map_filter("scalars", lambda k, v: k != "kind"))
+    block = F.array_join(F.transform(lines, lambda x: F.concat(x["key"], F.lit(": '"), x["value"], F.lit("'"))), "\n")
+    tags = F.coalesce(F.concat(F.lit("\ntags: ["), F.array_join(F.try_element_at("lists", F.lit("tags")), ", "), F.lit("]")), F.lit(""))
+    text = F.concat(F.lit("---\n"), block, tags, F.lit("\n---\n# Clause\n"))
+    files = own.select("path", "kind", F.encode(text, "UTF-8").alias("content"))
+    nodes = markdown.build_nodes(markdown.documents(files, config()), config())
+    get = lambda k: F.try_element_at("scalars", F.lit(k)).alias(k)
+    return nodes.select("id", "status", get("modality"), get("tier"), get("expires"), F.array_join(F.try_element_at("lists", F.lit("tags")), ",").alias("tags"))
