@@ -42,6 +42,8 @@ KEPT = 48
 LEAST_SHARED = 25
 SHORT = 128
 PERCENT = 85
+#: Nodes of at most so many rows, of four numbers each, are broadcast: 30 MB.
+BROADCAST_ROWS = 1 << 19
 
 
 def set_keys(hashes: np.ndarray) -> tuple[int, int]:
@@ -89,9 +91,11 @@ def whole_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(nids, pa.int64()), pa.array(np.diff(ends), pa.int64()), flat], names=["nid", "n", "s"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    joined = texts.join(nodes, F.col("doc_id").eqNullSafe(F.col("rep"))).select("nid", "h1", "h2", "text")
+    n = nodes.count()
+    side = F.broadcast(nodes) if n <= BROADCAST_ROWS else nodes  # else the texts are shuffled by id
+    joined = texts.join(side, F.col("doc_id").eqNullSafe(F.col("rep"))).select("nid", "h1", "h2", "text")
     sets = materialize(joined.mapInArrow(run, "nid long, n long, s array<long>"))
-    repeated = sets.count() != nodes.count()  # an id stands on several rows
+    repeated = sets.count() != n  # an id stands on several rows
     return materialize(sets.dropDuplicates(["nid"])) if repeated else sets
 
 
