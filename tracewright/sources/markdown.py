@@ -146,12 +146,14 @@ def documents(files: DataFrame, cfg: Config) -> DataFrame:
 
 
 ENTRIES = "array<string>"
+#: JSON lists; a [[link]] is none.
+LISTED = r'^\[(?!\[[^"\]])'
 
 
 def entries(df: DataFrame, key: str) -> DataFrame:
     """pos and entry of each item under a key; one value is a list of one."""
     raw = value(key)
-    items = F.when(raw.startswith("["), F.from_json(raw, ENTRIES)).when(raw.isNotNull(), F.array(raw))
+    items = F.when(raw.rlike(LISTED), F.from_json(raw, ENTRIES)).when(raw.isNotNull(), F.array(raw))
     return df.select("*", F.posexplode(items).alias("pos", "entry"))
 
 
@@ -198,8 +200,8 @@ def document_findings(docs: DataFrame, cfg: Config) -> DataFrame:
 def build_nodes(docs: DataFrame, cfg: Config) -> DataFrame:
     """One node for each id: of several documents, the last by path."""
     raw = F.from_json("fm", "map<string,string>")
-    plain = F.map_filter(raw, lambda k, v: v.isNotNull() & ~v.startswith("[") & ~v.startswith("{"))
-    lists = F.transform_values(F.map_filter(raw, lambda k, v: v.startswith("[")), lambda k, v: F.filter(F.from_json(v, ENTRIES), lambda x: ~x.startswith("{")))
+    plain = F.map_filter(raw, lambda k, v: v.isNotNull() & ~v.rlike(LISTED) & ~v.startswith("{"))
+    lists = F.transform_values(F.map_filter(raw, lambda k, v: v.rlike(LISTED)), lambda k, v: F.filter(F.from_json(v, ENTRIES), lambda x: ~x.startswith("{")))
     status = canonical_status(F.coalesce(value(cfg.status_field), F.lit("")), cfg)
     own = docs.where("id IS NOT NULL").withColumns({"plain": plain, "lists": lists, "status": status})
     fixed = F.create_map(F.lit("kind"), F.col("kind"), F.lit(cfg.status_field), F.col("status"))
@@ -235,7 +237,7 @@ def build_edges(docs: DataFrame, nodes: DataFrame, cfg: Config) -> tuple[DataFra
                 blank = own.where(F.map_contains_key("key_lines", key) & (raw.isNull() | (F.trim(raw) == "") | raw.isin("[]", "{}")))
                 findings.append(checks.found(blank.withColumn("line", F.try_element_at("key_lines", F.lit(key))), "empty_edge", cfg, F.lit(f"{key} is there, but empty")))
         rows = entries(own.select(*base), e.key).where("entry IS NOT NULL")
-        ref = F.when(F.col("entry").startswith("{"), F.get_json_object("entry", "$.ref")).when(~F.col("entry").startswith("["), F.col("entry"))
+        ref = F.when(F.col("entry").startswith("{"), F.get_json_object("entry", "$.ref")).when(~F.col("entry").rlike(LISTED), F.col("entry"))
         rows = rows.withColumns({"ref": ref, "line": F.try_element_at("key_lines", F.lit(e.key))})
         rows = rows.withColumn("dst", normalised(F.col("ref"), cfg, e)).withColumn("literal", F.coalesce("dst", F.trim("ref")))
         rows = rows.withColumn("bare", unpadded(F.col("literal"))).join(single, "bare", "left").join(ids.select(F.col("target").alias("literal"), F.lit(True).alias("known")), "literal", "left")
