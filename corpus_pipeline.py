@@ -67,8 +67,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    coded = sentencepiece_codec.encode(docs.select("doc_id", "text"), PIECE_MODEL).select("doc_id", "ids")
-    return coded_digests(sentencepiece_codec.decode(coded, PIECE_MODEL))
+    return coded_digests(sentencepiece_codec.coded(docs.select("doc_id", "text"), PIECE_MODEL))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

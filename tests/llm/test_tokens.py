@@ -74,3 +74,6 @@ def test_general_interface(spark):
     assert sentencepiece_codec.encode(df.limit(0), MODEL).collect() == []
     coded = sentencepiece_codec.decode(sentencepiece_codec.encode(df, MODEL), MODEL).orderBy("doc_id").collect()
     assert [r.decoded for r in coded] == ["one two", ""]
+    at_once = sentencepiece_codec.coded(df, MODEL).orderBy("doc_id")
+    assert at_once.columns == ["doc_id", "ids", "decoded"]
+    assert at_once.collect() == [(r.doc_id, r.ids, r.decoded) for r in coded]

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 U64 = np.uint64
@@ -67,6 +71,27 @@ def modest_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_ROWS))
 
 
+def give_back() -> None:
+    """Returns memory that this process has freed to the system; allocators keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim is not None:
+        trim(0)
+
+
+def lean(run: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator[pa.RecordBatch]]:
+    """run, after whose last batch the Python worker, which lives on, gives memory back."""
+
+    @wraps(run)
+    def leaving(*args) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(*args)
+        finally:
+            give_back()
+
+    return leaving
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The finalizer of splitmix64 over an array of uint64."""
     x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)

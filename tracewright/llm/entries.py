@@ -28,8 +28,7 @@ def coded_digests(coded: DataFrame) -> DataFrame:
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = sentencepiece_codec.encode(docs, PIECE_MODEL).select("doc_id", "ids")
-    return coded_digests(sentencepiece_codec.decode(coded, PIECE_MODEL))
+    return coded_digests(sentencepiece_codec.coded(docs, PIECE_MODEL))
 
 
 URL_RULES = [

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewright.llm.common import modest_batches
+from tracewright.llm.common import give_back, modest_batches
 
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
@@ -205,6 +205,7 @@ def predict(df: DataFrame, net: ByteConvNet, text: str = "text") -> DataFrame:
             found = net.predict(texts[i : i + TEXTS_AT_ONCE].to_pylist())
             labels += found[0]
             scores += found[1]
+        give_back()
         return pa.StructArray.from_arrays([pa.array(labels, pa.string()), pa.array(scores, pa.float64())], names=["lang_pred", "score"])
 
     # the texts alone go to Python, and nothing but answers comes back

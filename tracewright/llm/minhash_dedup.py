@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import U64, discard, modest_batches, materialize, mix64, release
+from tracewright.llm.common import U64, discard, lean, materialize, mix64, modest_batches, release
 from tracewright.llm.shingles import shingles
 
 KEPT = 48
@@ -67,7 +67,7 @@ def sketched(docs: DataFrame) -> DataFrame:
             columns = [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), *(pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1)), sketch]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "h1", "h2", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n long, h1 long, h2 long, sketch array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), "doc_id long, n long, h1 long, h2 long, sketch array<long>")
 
 
 def must_share(n, percent: int):
@@ -94,7 +94,7 @@ def whole_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     n = nodes.count()
     side = F.broadcast(nodes) if n <= BROADCAST_ROWS else nodes  # else the texts are shuffled by id
     joined = texts.join(side, F.col("doc_id").eqNullSafe(F.col("rep"))).select("nid", "h1", "h2", "text")
-    sets = materialize(joined.mapInArrow(run, "nid long, n long, s array<long>"))
+    sets = materialize(joined.mapInArrow(lean(run), "nid long, n long, s array<long>"))
     repeated = sets.count() != n  # an id stands on several rows
     return materialize(sets.dropDuplicates(["nid"])) if repeated else sets
 

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import BYTE_CODES, POWERS, U64, materialize, mix64, modest_batches, n_partitions, prefix_sums, release
+from tracewright.llm.common import BYTE_CODES, POWERS, U64, lean, materialize, mix64, modest_batches, n_partitions, prefix_sums, release
 
 LENGTH = 400
 GRAM = 32
@@ -46,8 +46,9 @@ GRAM = 32
 LARGE = 1 << 14
 PARTS = 4
 CHUNK = 2048
-#: Offsets whose hashes are compared at once.
+#: Offsets whose hashes are compared at once, and anchors whose prefixes are hashed at once.
 COLUMNS = 64
+BLOCK = 1024
 
 
 def bwt_repeats(data: bytes, length: int) -> np.ndarray:
@@ -146,7 +147,7 @@ def anchored(docs: DataFrame, length: int) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.select("doc_id", "text", *text_keys(), F.sha2("text", 256).alias("sha256"))
-    return rows.mapInArrow(run, "doc_id long, h1 long, h2 long, sha256 string, n_bytes long, places array<int>, grams array<long>")
+    return rows.mapInArrow(lean(run), "doc_id long, h1 long, h2 long, sha256 string, n_bytes long, places array<int>, grams array<long>")
 
 
 class Contexts:
@@ -164,7 +165,8 @@ class Contexts:
             self.right[i] = len(b) - left[i]
         up, self.down = POWERS.to(width + 1)
         self.sums = np.zeros((len(around), width + 1), dtype=U64)
-        np.cumsum(BYTE_CODES[data] * up[None, :width], axis=1, out=self.sums[:, 1:])
+        for i in range(0, len(around), BLOCK):
+            np.cumsum(BYTE_CODES[data[i : i + BLOCK]] * up[None, :width], axis=1, out=self.sums[i : i + BLOCK, 1:])
 
     def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """A matrix of hashes of spans given by places before and after the anchor."""
@@ -278,7 +280,7 @@ def large_groups(large: DataFrame, length: int) -> DataFrame:
     width = most + 1
     while True:
         width = -(-width // PARTS)
-        hashed = materialize(members.mapInArrow(lambda batches: range_hashes(batches, length), "nid long, place long, low long, high long, core long, hull long"))
+        hashed = materialize(members.mapInArrow(lean(lambda batches: range_hashes(batches, length)), "nid long, place long, low long, high long, core long, hull long"))
         hulls = hashed.where("hull IS NOT NULL").groupBy("hull").agg(F.count("*").alias("n"), F.min(F.struct("nid", "place", "low", "high")).alias("one")).where("n > 1")
         hulls = materialize(hulls.select("hull", "one"))
         again = hashed.join(hulls.select("hull"), "hull", "left_semi").select("nid", *span(F.col("low"), F.col("high")))
@@ -314,7 +316,7 @@ def around_anchors(hits: DataFrame, length: int) -> DataFrame:
                         out = []
             yield packed(out)
 
-    return hits.mapInArrow(run, "gram long, m long, nid long, place long, left long, around binary")
+    return hits.mapInArrow(lean(run), "gram long, m long, nid long, place long, left long, around binary")
 
 
 class Repeats:
@@ -343,7 +345,7 @@ class Repeats:
         release(docs.sparkSession)
         around = around_anchors(self.hits, length)
         small = around.where(F.col("m") <= LARGE).repartition(n_partitions(docs.sparkSession), "gram").sortWithinPartitions("gram")
-        in_memory = small.mapInArrow(lambda batches: compare_groups(batches, length), SPANS)
+        in_memory = small.mapInArrow(lean(lambda batches: compare_groups(batches, length)), SPANS)
         pieces = materialize(in_memory)
         release(docs.sparkSession)
         if (large := materialize(around.where(F.col("m") > LARGE))).limit(1).count():
@@ -397,7 +399,7 @@ def removals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             columns = list(zip(*rows, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["nid", "cut", "n", "kept"])
 
-    cut = parts.select("nid", "text", "spans").mapInArrow(run, "nid long, cut long, n long, kept string")
+    cut = parts.select("nid", "text", "spans").mapInArrow(lean(run), "nid long, cut long, n long, kept string")
     cut = cut.join(found.nodes.where(~lost).select("nid"), "nid", "left_semi")  # equal rows of a text were each looked at
     nodes = found.nodes.select("nid", "h1", "h2", "copies").join(cut, "nid", "left").where(lost | F.col("cut").isNotNull()).drop("nid")
     out = found.rows.select("doc_id", "h1", "h2", "n_bytes", "sha256").join(nodes, ["h1", "h2"], "left")

@@ -25,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tracewright.llm.common import modest_batches
+from tracewright.llm.common import lean, modest_batches
 
 MARK = "▁"
-MAX_WORDS = 1 << 19
+MAX_WORDS = 1 << 17
 MAX_KEPT_CHARS = 64
 MARKED_WORD = re.compile(" +[^ ]*")
 
@@ -121,18 +121,28 @@ def extended(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
     return T.StructType([f for f in df.schema.fields if f.name != name] + [T.StructField(name, kind)])
 
 
+def encoded(one: Codec, texts: pa.Array) -> pa.ListArray:
+    parts = [one.packed(t) for t in texts.to_pylist()]
+    offsets = np.zeros(len(parts) + 1, dtype=np.int64)
+    np.cumsum([len(p) // 4 for p in parts], out=offsets[1:])
+    values = pa.array(np.frombuffer(b"".join(parts), dtype="<i4"))
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)
+
+
+def decoded_texts(one: Codec, ids: pa.ListArray) -> pa.Array:
+    values, ends = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
+    return pa.array([one.decode(values[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.string())
+
+
 def encode(df: DataFrame, model: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Adds the ids of each whole text as the library gives them, without begin or end ids."""
     modest_batches(df.sparkSession)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packed = codec(model).packed
+        one = codec(model)
         for batch in batches:
-            parts = [packed(t) for t in batch.column(text).to_pylist()]
-            offsets = np.zeros(len(parts) + 1, dtype=np.int64)
-            np.cumsum([len(p) // 4 for p in parts], out=offsets[1:])
-            values = pa.array(np.frombuffer(b"".join(parts), dtype="<i4"))
-            yield with_column(batch, ids, pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values))
+            yield with_column(batch, ids, encoded(one, batch.column(text)))
 
     return df.mapInArrow(run, extended(df, ids, T.ArrayType(T.IntegerType())))
 
@@ -140,12 +150,26 @@ def encode(df: DataFrame, model: str, text: str = "text", ids: str = "ids") -> D
 def decode(df: DataFrame, model: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """Adds the text that the library's decode makes of each list of ids (null: "")."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = codec(model).decode
+        one = codec(model)
         for batch in batches:
-            column = batch.column(ids)
-            values, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
-            texts = [one(values[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            yield with_column(batch, decoded, pa.array(texts, pa.string()))
+            yield with_column(batch, decoded, decoded_texts(one, batch.column(ids)))
 
     return df.mapInArrow(run, extended(df, decoded, T.StringType()))
+
+
+def coded(df: DataFrame, model: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """Puts each whole text's ids and what they decode to in the text's place, in one pass over it."""
+    modest_batches(df.sparkSession)
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = codec(model)
+        for batch in batches:
+            found = encoded(one, batch.column(text))
+            rest = batch.select([n for n in batch.schema.names if n != text])
+            yield with_column(with_column(rest, ids, found), decoded, decoded_texts(one, found))
+
+    fields = [f for f in df.schema.fields if f.name not in (text, ids, decoded)]
+    return df.mapInArrow(run, T.StructType([*fields, T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(decoded, T.StringType())]))
