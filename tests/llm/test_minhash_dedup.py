@@ -105,3 +105,18 @@ def test_components_of_chains(spark):
     links = [(i, i + 1) for i in range(60)] + [(100, 200), (200, 150)]
     out = {r.nid: r.label for r in minhash_dedup.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert out == {**{i: 0 for i in range(61)}, 100: 100, 200: 100, 150: 100}
+
+
+def test_partner_beyond_the_sketch(spark):
+    """48 shingles within 56, of which the 8 largest hashes, all common, are not retained."""
+    i = 0
+    while True:
+        words = [f"p{i}q{j}" for j in range(60)]
+        small, large = " ".join(words[:52]), " ".join(words)
+        if set(sorted(shingles(large))[-8:]) <= set(shingles(small)):
+            break
+        i += 1
+    assert (len(shingles(small)), len(shingles(large))) == (48, 56)
+    rows = [(1, small), (2, large), (3, "quite another text")]
+    got = minhash_dedup.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows) == [(1, 48, 1), (2, 56, 1), (3, 1, 3)]

@@ -4,9 +4,9 @@
    Documents of equal sets (by 128 bits) become one node at once, so copies never meet
    as pairs.
 2. Inverted lists of the retained values are counted.  Linked sets hold at least
-   ``LEAST_SHARED`` of their retained values in common (all but ``n - ceil(0.85 n)`` where
-   the sketch is the whole set), so a node with fewer values that another one retains as
-   well is linked to nothing.  For larger sets this fails with the chance that fewer than
+   ``LEAST_SHARED`` of their retained values in common (``least_met`` where the sketch is
+   the whole set), so a node with fewer values that another one retains as well is linked
+   to nothing.  For larger sets this fails with the chance that fewer than
    LEAST_SHARED of KEPT draws fall into an intersection of 0.85 of the union, 1.4e-8
    at most.
 3. The nodes left take part with their whole sets.  In any order of all values, a pair that
@@ -75,6 +75,16 @@ def must_share(n, percent: int):
     return F.expr(f"({n} * {percent} + 99) div 100")
 
 
+def least_met(n: int, percent: int) -> int:
+    """The least number of values of a set of n <= KEPT that a linked set retains, by all sizes m of that set: beyond KEPT its largest are not retained."""
+    met = []
+    for m in range(n, n * 100 // percent + 1):
+        common = -(-percent * (n + m) // (100 + percent))
+        met.append(common - max(0, m - KEPT))
+    smaller = -(-percent * n // 100)  # of a linked set that is smaller or within this one
+    return max(0, min(met + [smaller]))
+
+
 def whole_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """nid, n, s: the sorted hashes of the nodes' sets, from the texts of their documents."""
 
@@ -184,7 +194,8 @@ def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     retained = nodes.select("nid", F.explode("sketch").alias("v"))
     shared = retained.groupBy("v").agg(F.count("*").alias("df")).where("df > 1").select("v")
     met = retained.join(shared, "v").groupBy("nid").agg(F.count("*").alias("met"))
-    least = F.when(F.col("n") <= KEPT, must_share("n", percent)).otherwise(LEAST_SHARED)
+    small = F.array(*(F.lit(least_met(n, percent)) for n in range(1, KEPT + 1)))
+    least = F.when(F.col("n") <= KEPT, F.try_element_at(small, F.col("n").cast("int"))).otherwise(LEAST_SHARED)
     hopeful = materialize(nodes.drop("sketch").join(met, "nid").where(F.col("met") >= least).select("nid", "h1", "h2", "rep"))
     release(docs.sparkSession)
     sets = whole_sets(docs, hopeful)
