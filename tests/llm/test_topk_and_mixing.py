@@ -43,6 +43,27 @@ def test_top_k_few(spark):
     assert [r.score for r in big] == [192000000**2, -(192000000**2)]
 
 
+def test_top_k_of_repeated_ids(spark, monkeypatch):
+    """More than k rows of the best id, two of every other: each id takes one place."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(300) for _ in range(2)]
+    rows += [(1, [9.0 * (x > 0) - 9.0 * (x < 0) for x in rows[0][1]])] * 30 + [(7, [8.0] * 4)] * 25
+    best = {}
+    for q, v in rows:
+        for i, w in rows:
+            if q % 20 == 0 and i != q:
+                score = sum(int(np.floor(64.0 * np.float32(a))) * int(np.floor(64.0 * np.float32(b))) for a, b in zip(v, w, strict=True))
+                best[q, i] = max(score, best.get((q, i), score))
+    want = [(q, r + 1, i, -s) for q in range(0, 300, 20) for r, (s, i) in enumerate(sorted((-s, i) for (p, i), s in best.items() if p == q)[:20])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    for first_depth in (topk_search.FIRST_DEPTH, 4):
+        monkeypatch.setattr(topk_search, "FIRST_DEPTH", first_depth)
+        got = topk_search.top_k(df, F.col("vec_id") % 20 == 0).select("query_id", "rank", "vec_id", "score").collect()
+        assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_bound_stops_early():
     ids = np.arange(20000)
     rows = np.zeros((20000, 4))

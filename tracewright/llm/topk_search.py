@@ -76,9 +76,25 @@ def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np
 LOWEST = np.iinfo(np.int64).min + 1  # can be negated
 
 
+def merged_columns(scores: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One column for each id, with its best scores."""
+    order = np.argsort(ids, kind="stable")
+    own, starts = np.unique(ids[order], return_index=True)
+    return (scores if len(own) == len(ids) else np.maximum.reduceat(scores[:, order], starts, axis=1)), (ids if len(own) == len(ids) else own)
+
+
+def merged_cells(scores: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the cells of one id in a row, all but that of the best score become LOWEST."""
+    order = np.lexsort((-scores, ids), axis=-1)
+    scores, ids = np.take_along_axis(scores, order, axis=1), np.take_along_axis(ids, order, axis=1)
+    scores[:, 1:][ids[:, 1:] == ids[:, :-1]] = LOWEST
+    return scores, ids
+
+
 def threshold_search(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Scores and ids of the k best rows of a block for each query; LOWEST where there are fewer."""
+    """Scores and ids of the k best ids of a block for each query, by the best row of each; LOWEST where there are fewer."""
     n, width = rows.shape
+    repeated = len(np.unique(ids)) < n
     order = np.argsort(rows, axis=0, kind="stable")
     up, down = np.maximum(queries, 0), np.minimum(queries, 0)
     best_scores = np.full((len(queries), k), LOWEST)
@@ -99,8 +115,9 @@ def threshold_search(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, q
         if len(new):
             scores = scores_of(queries[open_queries], rows[new])
             scores[query_ids[open_queries][:, None] == ids[new][None, :]] = LOWEST
-            found = best_of(scores, ids[new], k)
+            found = best_of(*merged_columns(scores, ids[new]), k)
             both = np.concatenate([best_scores[open_queries], found[0]], axis=1), np.concatenate([best_ids[open_queries], found[1]], axis=1)
+            both = merged_cells(*both) if repeated else both
             best_scores[open_queries], best_ids[open_queries] = best_of(*both, k)
         high, low = rows[order[n - depth], np.arange(width)], rows[order[depth - 1], np.arange(width)]
         bound = up[open_queries] @ high + down[open_queries] @ low
