@@ -201,16 +201,14 @@ def edge_attrs(c: Corpus, rule: str) -> DataFrame:
 
 
 def cycle(c: Corpus) -> DataFrame:
-    """One finding for each strong component of an acyclic type, and of acyclic_union."""
+    """One finding for each strong component of an acyclic type, and of acyclic_union where a simple cycle needs more than one of its types."""
     parts = []
     for e in c.cfg.edges:
         if e.acyclic:
             parts.append(graph.cycle_paths(graph.steps(c.edges, [e.name])).select(F.lit(e.name).alias("type"), "path"))
     if c.cfg.acyclic_union:
         types = list(c.cfg.acyclic_union)
-        mixed = graph.mixed_cycles(c.edges, types).select("id")
-        inner = graph.steps(c.edges, types).join(mixed.withColumnRenamed("id", "src"), "src", "left_semi").join(mixed.withColumnRenamed("id", "dst"), "dst", "left_semi")
-        parts.append(graph.cycle_paths(inner).select(F.lit(" + ".join(types)).alias("type"), "path"))
+        parts.append(graph.mixed_cycles(c.edges, types).select(F.lit(" + ".join(types)).alias("type"), "path"))
     if not parts:
         return none(c)
     rows = reduce(DataFrame.unionByName, parts).withColumnRenamed("path", "way").withColumn("id", F.element_at("way", 1))

@@ -6,6 +6,8 @@ that is lost costs a stage, not the loop.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -118,12 +120,91 @@ def cycle_paths(pairs: DataFrame) -> DataFrame:
     return whole.select("component", path("component", "edges").alias("path"))
 
 
+def blocks(arcs: list[tuple[str, str]]) -> list[set[tuple[str, str]]]:
+    """The arcs in groups that share a simple cycle of the undirected graph; each simple cycle of the arcs lies in one group."""
+    near: dict[str, set[str]] = {}
+    for a, b in arcs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    own = set(arcs)
+    at: dict[str, int] = {}
+    low: dict[str, int] = {}
+    out: list[set[tuple[str, str]]] = []
+    for root in near:
+        if root in at:
+            continue
+        at[root] = low[root] = len(at)
+        walk_, pending = [(root, None, iter(near[root]))], []
+        while walk_:
+            node, parent, rest = walk_[-1]
+            step = next(rest, None)
+            if step is None:
+                walk_.pop()
+                if parent is not None:
+                    low[parent] = min(low[parent], low[node])
+                    if low[node] >= at[parent]:
+                        group = set()
+                        while (parent, node) not in group:
+                            group.add(pending.pop())
+                        out.append({arc for a, b in group for arc in ((a, b), (b, a)) if arc in own})
+            elif step not in at:
+                at[step] = low[step] = len(at)
+                pending.append((node, step))
+                walk_.append((step, node, iter(near[step])))
+            elif step != parent and at[step] < at[node]:
+                pending.append((node, step))
+                low[node] = min(low[node], at[step])
+    return out
+
+
+def mixed_cycle(edges: list[tuple[str, str, int]]) -> list[str]:
+    """The first simple cycle of a component whose masks AND to 0, by sorted starts and neighbours, or none.
+
+    Blocks whose masks have a bit in common hold none and are left out.  The rest is
+    a search among simple paths, which may take long in large dense blocks.
+    """
+    masks = {(a, b): mask for a, b, mask in edges if a != b}
+    near: dict[str, list[str]] = {}
+    for group in blocks(list(masks)):
+        common = -1
+        for arc in group:
+            common &= masks[arc]
+        if common == 0:
+            for a, b in group:
+                near.setdefault(a, []).append(b)
+    near = {a: sorted(near[a]) for a in sorted(near)}
+    for start in near:
+        path, met, covers, open_ = [start], {start}, [-1], [iter(near[start])]
+        while path:
+            step = next(open_[-1], None)
+            if step is None:
+                open_.pop()
+                covers.pop()
+                met.discard(path.pop())
+                continue
+            mask = covers[-1] & masks[path[-1], step]
+            if step == start:
+                if mask == 0:
+                    return [*path, start]
+            elif step > start and step not in met:
+                met.add(step)
+                path.append(step)
+                covers.append(mask)
+                open_.append(iter(near.get(step, [])))
+    return []
+
+
 def mixed_cycles(edges: DataFrame, types: list[str]) -> DataFrame:
-    """component of nodes on a cycle that needs more than one of the types: on a cycle of their union, on none of a single one's own."""
-    together = strong_components(steps(edges, types))
-    for t in types:
-        together = together.join(cyclic(steps(edges, [t])), "id", "left_anti")
-    return together
+    """component, path: of each strong component of the types' union, one simple cycle that no single type covers, if there is one."""
+    bits = reduce(lambda otherwise, x: F.when(F.col("type") == x[1], F.lit(1 << x[0]).cast("bigint")).otherwise(otherwise), enumerate(types), F.lit(0).cast("bigint"))
+    members = strong_components(steps(edges, types))
+    a = members.select(F.col("id").alias("src"), "component")
+    b = members.select(F.col("id").alias("dst"), F.col("component").alias("other"))
+    marked = edges.where(F.col("type").isin(types)).groupBy("src", "dst").agg(F.bit_or(bits).alias("mask"))
+    inner = marked.join(a, "src").join(b, "dst").where("component = other")
+    whole = inner.groupBy("component").agg(F.collect_list(F.struct("src", "dst", "mask")).alias("edges"), F.bit_and("mask").alias("common")).where("common = 0")
+    path = F.udf(lambda edges: mixed_cycle([(e["src"], e["dst"], e["mask"]) for e in edges]), "array<string>")
+    return whole.select("component", path("edges").alias("path")).where(F.size("path") > 0)
 
 
 def depths(pairs: DataFrame) -> DataFrame:

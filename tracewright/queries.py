@@ -212,6 +212,14 @@ def check_cycle(spark, sf_dir):
     return rows.select(F.element_at("path", 1).alias("id"), F.size("path").alias("length"))
 
 
+@query("check_cycle_union", """SELECT 'interop' AS type, min(me) AS id FROM o WHERE c_mktsegment = 'BUILDING' GROUP BY o_custkey
+UNION ALL SELECT 'supersedes + depends-on', min(a.me) FROM o a JOIN o b ON b.o_custkey = a.o_custkey AND b.o_orderkey = b.top
+  AND (a.o_orderdate < b.o_orderdate OR (a.o_orderdate = b.o_orderdate AND a.o_orderkey <= b.o_orderkey)) GROUP BY a.o_custkey HAVING count(*) > 1""")
+def check_cycle_union(spark, sf_dir):
+    """Of a customer's orders, those up to the most expensive one are on cycles of the two types, on none of a single one."""
+    return checks.cycle(corpus(spark, sf_dir)).select(F.substring_index("detail", " goes in", 1).alias("type"), "id")
+
+
 LINEAGE = """lead AS (
   SELECT id FROM dated WHERE status = 'accepted' AND in_force
   UNION SELECT e.dst FROM lead l JOIN edges e ON e.type = 'supersedes' AND e.src = l.id JOIN nodes n ON n.id = e.dst AND n.status = 'superseded'
