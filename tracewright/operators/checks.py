@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tracewright.functions import text as T
 from tracewright.functions.identity import unpadded
 from tracewright.operators import graph
-from tracewright.operators.corpus import FINDING, Corpus
+from tracewright.operators.corpus import FINDING, Corpus, stored
 from tracewright.operators.periods import by_kind
 from tracewright.plans import conditions
 from tracewright.plans.config import SEVERITIES, Config
@@ -457,14 +457,31 @@ def touching(c: Corpus, rows: DataFrame, paths: list[str]) -> DataFrame:
 
 
 def suggestions(c: Corpus, rows: DataFrame, most: int = 3) -> DataFrame:
-    """Adds fix: for an unknown id, the known ids whose numbers are nearest, found among neighbours in order of number."""
+    """Adds fix: for an unknown id, the known ids whose numbers are nearest, nearest first, without the finding's own.
+
+    Known numbers have places in their order, counted by range partitions; of an unknown one, the
+    numbers at ``most + 1`` places to each side hold the nearest ids.
+    """
     from tracewright.functions.identity import number_of
 
-    lost = rows.where("rule = 'dangling_ref'").select(F.regexp_extract("detail", "leads to ([^,]+),", 1).alias("lost")).distinct().withColumn("n", number_of(F.col("lost"))).where("n IS NOT NULL")
-    ids = c.nodes.select(F.col("id").alias("near"), number_of(F.col("id")).alias("n")).where("n IS NOT NULL")
-    bucket = 64
-    cells = lost.withColumn("cell", F.explode(F.array(*(F.floor(F.col("n") / bucket) + d for d in (-1, 0, 1)))))
-    close = cells.join(ids.select("near", F.col("n").alias("m"), F.floor(F.col("n") / bucket).alias("cell")), "cell")
-    order = Window.partitionBy("lost").orderBy(F.abs(F.col("n") - F.col("m")), "near")
-    best = close.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most).groupBy("lost").agg(F.array_join(F.sort_array(F.collect_list("near")), ", ").alias("fix"))
-    return rows.withColumn("lost", F.regexp_extract("detail", "leads to ([^,]+),", 1)).join(best, "lost", "left").drop("lost")
+    keyed = rows.withColumn("lost", F.when(F.col("rule") == "dangling_ref", F.regexp_extract("detail", "leads to (.*), which is unknown$", 1)))
+    lost = keyed.select("id", "lost").distinct().withColumn("n", number_of(F.col("lost"))).where("n IS NOT NULL")
+    ids = c.nodes.select(F.col("id").alias("near"), number_of(F.col("id")).alias("m")).where("m IS NOT NULL").distinct()
+    nth = F.row_number().over(Window.partitionBy("m").orderBy("near"))
+    few = ids.withColumn("nth", nth).where(F.col("nth") <= most + 1).groupBy("m").agg(F.sort_array(F.collect_list("near")).alias("nears"))
+    both = few.select("m", "nears").unionByName(lost.select(F.col("n").alias("m")).distinct(), allowMissingColumns=True)
+    dealt = stored(both.repartitionByRange(F.col("m")).withColumn("part", F.spark_partition_id()))
+    before, counts = 0, []
+    for part, n in sorted(map(tuple, dealt.groupBy("part").agg(F.count("nears")).collect())):
+        counts.append((part, before))
+        before += n
+    offsets = c.spark.createDataFrame(counts, "part int, before bigint")
+    inside = Window.partitionBy("part").orderBy("m", F.col("nears").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = stored(dealt.withColumn("at", F.count("nears").over(inside)).join(F.broadcast(offsets), "part").select("m", "nears", (F.col("at") + F.col("before")).alias("place")))
+    sought = placed.where("nears IS NULL").select(F.col("m").alias("n"), F.explode(F.sequence(F.col("place") - most, F.col("place") + most + 1)).alias("place"))
+    close = lost.join(sought, "n").join(placed.where("nears IS NOT NULL"), "place").select("id", "lost", "n", "m", F.explode("nears").alias("near")).where(~F.col("near").eqNullSafe(F.col("id")))
+    distance = F.abs(F.col("n") - F.col("m"))
+    order = Window.partitionBy("id", "lost").orderBy(distance, "near")
+    best = close.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most).groupBy("id", "lost").agg(F.sort_array(F.collect_list(F.struct("nth", "near"))).alias("best"))
+    best = best.select(F.col("id").alias("owner"), F.col("lost").alias("sought"), F.array_join(F.col("best.near"), ", ").alias("fix"))
+    return keyed.join(best, F.col("id").eqNullSafe(F.col("owner")) & (F.col("lost") == F.col("sought")), "left").drop("lost", "owner", "sought")
