@@ -379,6 +379,22 @@ def touching(spark, sf_dir):
     return rows.select("id", F.regexp_extract("detail", "leads to ([^,]+),", 1).alias("other")).distinct()
 
 
+@query("suggestions", """SELECT id, other, string_agg(near, ', ' ORDER BY nth) AS fix FROM (
+  SELECT l.id, l.other, c.near, row_number() OVER (PARTITION BY l.id, l.other ORDER BY c.distance, c.near) AS nth FROM lost l JOIN close c ON c.other = l.other AND c.near <> l.id
+) WHERE nth <= 3 GROUP BY 1, 2""", more="""lost AS (
+  SELECT DISTINCT src AS id, dst AS other FROM edges WHERE dst NOT IN (SELECT id FROM nodes)
+), close AS (
+  SELECT * FROM (
+    SELECT l.other, n.id AS near, abs(n.n - l.n) AS distance, row_number() OVER (PARTITION BY l.other ORDER BY abs(n.n - l.n), n.id) AS place
+    FROM (SELECT DISTINCT other, CAST(regexp_extract(other, '[0-9]+') AS BIGINT) AS n FROM lost) l, (SELECT id, CAST(regexp_extract(id, '[0-9]+') AS BIGINT) AS n FROM nodes) n
+  ) WHERE place <= 4
+)""")
+def suggestions(spark, sf_dir):
+    c = corpus(spark, sf_dir)
+    rows = checks.suggestions(c, checks.dangling_ref(c))
+    return rows.select("id", F.regexp_extract("detail", "leads to ([^,]+),", 1).alias("other"), "fix").distinct()
+
+
 @query("parse_documents", "SELECT id, status, modality, tier, expires, array_to_string(tags, ',') AS tags FROM clauses")
 def parse_documents(spark, sf_dir):
     """Clauses are written as Markdown and read back."""
