@@ -21,9 +21,11 @@ strings are found as follows (the README has the reasons and figures).
 5. The strings' spans are joined for each text.
 
 Copies of a whole text are one node in all this; a text of at least ``length`` bytes that
-stands in several rows is removed whole.  Hashes of strings and texts have 64 and 128 bits.
+stands in several rows is removed whole.  Strings and texts are equal where their hashes of 64 and
+128 bits are; the bytes themselves are not compared again.
 
-Null text counts as empty.  Texts shorter than ``length`` lose nothing.  Removal can
+Null text counts as empty.  Texts shorter than ``length`` lose nothing.  An empty table has an
+empty result.  Columns other than doc_id and text are not looked at.  Removal can
 cut characters; the cleaned text leaves out bytes that no longer form one.
 """
 
@@ -127,8 +129,10 @@ def text_keys() -> list:
 
 
 def list_array(parts: list[np.ndarray], kind: np.dtype) -> pa.ListArray:
-    ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts).astype(kind) if parts else np.zeros(0, dtype=kind)))
+    ends = np.cumsum([0, *map(len, parts)])
+    if ends[-1] > np.iinfo(np.int32).max:
+        raise OverflowError("the lists of one batch hold more than 2**31 - 1 values; lower spark.sql.execution.arrow.maxRecordsPerBatch")
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate(parts).astype(kind) if parts else np.zeros(0, dtype=kind)))
 
 
 def anchored(docs: DataFrame, length: int) -> DataFrame:
@@ -413,19 +417,34 @@ def removals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     )
 
 
-def cleaned(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """The rows of docs, in whose text repeated strings are left out (null text stays null)."""
+def n_words(data: bytes) -> int:
+    return len(data.split())  # at bytes 0x20 and 0x09-0x0D
+
+
+def cleaned(docs: DataFrame, length: int = LENGTH, least_words: int = 1) -> DataFrame:
+    """The rows of docs, in whose text repeated strings are left out (null text stays null).
+
+    Only maximal repeated runs of ``least_words`` words and more are left out, the words that
+    a run cuts at its ends included.  All of docs' columns come back, whatever their names.
+    """
     found = Repeats(docs, length)
     spans = found.nodes.select("nid", "h1", "h2", "copies", "n_bytes").join(found.spans, "nid", "left")
     whole = F.array(F.struct(F.lit(0).cast("long").alias("first"), F.col("n_bytes").alias("last")))
     cut = spans.withColumn("spans", F.when((F.col("copies") > 1) & (F.col("n_bytes") >= length), whole).otherwise(F.col("spans"))).where("spans IS NOT NULL")
-    cut = cut.select(F.col("h1").alias("cut_h1"), F.col("h2").alias("cut_h2"), F.col("spans").alias("cut_spans"))
-    h1, h2 = (F.xxhash64(F.coalesce(docs["text"], F.lit(""))), F.xxhash64(F.lit(7), F.coalesce(docs["text"], F.lit(""))))
-    with_spans = docs.join(cut, (h1 == F.col("cut_h1")) & (h2 == F.col("cut_h2")), "left")
+    mark = "cut_" + "_" * max((len(c) for c in docs.columns), default=0)  # longer than any name there
+    h1, h2, runs = (F.col(mark + n) for n in ("h1", "h2", "spans"))
+    cut = cut.select(F.col("h1").alias(mark + "h1"), F.col("h2").alias(mark + "h2"), F.col("spans").alias(mark + "spans"))
+    own = (F.xxhash64(F.coalesce(docs["text"], F.lit(""))), F.xxhash64(F.lit(7), F.coalesce(docs["text"], F.lit(""))))
+    with_spans = docs.join(cut, (own[0] == h1) & (own[1] == h2), "left")
 
     @F.pandas_udf("string")
     def cleaned_text(text: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([t if s is None or t is None else kept_bytes(t.encode(), list(s)).decode(errors="ignore") for t, s in zip(text, spans, strict=True)])
-
-    text = F.when(F.col("cut_spans").isNull(), F.col("text")).otherwise(cleaned_text("text", "cut_spans"))
+        out = []
+        for t, own in zip(text, spans, strict=True):
+            data = None if t is None or own is None else t.encode()
+            long = [] if data is None else [s for s in own if least_words <= 1 or n_words(data[s["first"] : s["last"]]) >= least_words]
+            out.append(kept_bytes(data, long).decode(errors="ignore") if long else t)
+        return pd.Series(out)
+
+    text = F.when(runs.isNull(), docs["text"]).otherwise(cleaned_text(docs["text"], runs))
     return with_spans.select(*(text.alias(c) if c == "text" else docs[c] for c in docs.columns))
