@@ -1,5 +1,6 @@
 import random
 import re
+from collections import Counter
 from itertools import combinations
 
 import pytest
@@ -120,3 +121,34 @@ def test_partner_beyond_the_sketch(spark):
     rows = [(1, small), (2, large), (3, "quite another text")]
     got = minhash_dedup.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows) == [(1, 48, 1), (2, 56, 1), (3, 1, 3)]
+
+
+def test_one_of_each(spark):
+    rows = [(r[0], r[1], i % 3) for i, r in enumerate(corpus())] + [(100, corpus()[0][1], 0), (None, "alone and null id", 7)]
+    kept = minhash_dedup.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, own_mark int")).collect()
+    members = {}
+    for (d, t, _), (_, n, c) in zip(rows, brute([(i, r[1]) for i, r in enumerate(rows)]), strict=True):
+        if n:
+            members.setdefault(c, []).append((d is None, d or 0))
+    want = Counter(None if none else d for none, d in map(min, members.values()))
+    assert Counter(r.doc_id for r in kept if word_sets(r.text)) == want
+    assert sum(not word_sets(r.text) for r in kept) == sum(not word_sets(t) for _, t, _ in rows)
+
+
+def test_the_estimate_decides(spark, monkeypatch):
+    """Without the union sketches' say, unlike pairs reach the comparison of whole sets; with an impossible one, no larger sets link."""
+    rows = [r for r in corpus() if len(word_sets(r[1])) > minhash_dedup.KEPT]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    linked = {r.doc_id for r in minhash_dedup.groups(df).collect() if r.doc_id != r.component_id}
+    assert linked
+    monkeypatch.setattr(minhash_dedup, "least_shared", lambda percent: minhash_dedup.KEPT + 1)
+    alone = minhash_dedup.groups(df).collect()
+    assert sum(r.doc_id != r.component_id for r in alone) < len(linked)
+
+
+def test_a_full_filter_changes_nothing(spark, monkeypatch):
+    monkeypatch.setattr(minhash_dedup, "MOST_BITS", 64)
+    rows = corpus(seed=8)
+    got = minhash_dedup.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    key = lambda r: tuple((x is not None, x) for x in r)
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=key) == sorted(brute(rows), key=key)
