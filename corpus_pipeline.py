@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.llm import language_id, minhash_dedup, mixing, repeat_removal, sentencepiece_codec
@@ -32,6 +32,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def keep_recognised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Null and empty texts go, as do texts without a letter; repeated rows are judged alike.  An empty table stays empty."""
     net = language_id.trained(docs)
     found = language_id.predict(docs.select(*COLUMNS), net)
     guess = 1 / max(1, len(net.labels))
@@ -40,18 +41,8 @@ def keep_recognised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of rows with the kept id, the first by text stays.
-
-    Only the kept ids of groups that lost a row to an equal id can stand on several rows; they are few.
-    """
-    judged = materialize(minhash_dedup.groups(docs.select("doc_id", "text")))
-    kept = judged.where("kept").groupBy("doc_id").agg(F.count("*").alias("rows"))
-    stays = docs.select(*COLUMNS).join(kept.withColumnRenamed("doc_id", "kept_id"), F.col("doc_id").eqNullSafe(F.col("kept_id")))
-    single = stays.where("rows = 1").select(*COLUMNS)
-    first = Window.partitionBy("doc_id", "mark").orderBy("text", "source", "lang", "n_chars")
-    # rows of one id, null among them: one stays for each different text
-    several = stays.where("rows > 1").withColumn("mark", F.xxhash64("text")).withColumn("nth", F.row_number().over(first))
-    return single.unionByName(several.where("nth = 1").select(*COLUMNS))
+    """Near copies share 85 of 100 shingles of five words; rows of one id are told apart by their texts."""
+    return minhash_dedup.one_of_each(docs.select(*COLUMNS))
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -75,6 +66,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The digests of op1 for each row; null text counts as empty, repeated rows come out as often as they stand."""
     return coded_digests(sentencepiece_codec.coded(docs.select("doc_id", "text"), PIECE_MODEL))
 
 
