@@ -81,7 +81,7 @@ def test_kinds_attributes_and_padding(spark):
     ]
     c = markdown.build(spark.createDataFrame([(p, k, t.encode()) for p, k, t in rows], "path string, kind string, content binary"), cfg, DAY)
     got = found(c, "edge_attr_invalid", "edge_attr_unknown", "unknown_field", "kind_mismatch")
-    assert set(got) >= {("edge_attr_invalid", "UZ-V-002", 6), ("edge_attr_unknown", "UZ-V-002", 6), ("padding_mismatch", "UZ-V-003", 6), ("unknown_field", "UZ-V-003", 6), ("kind_mismatch", "topic/a", 3), ("id_mismatch", None, 1)}
+    assert set(got) >= {("edge_attr_invalid", "UZ-V-002", 6), ("edge_attr_unknown", "UZ-V-002", 6), ("padding_mismatch", "UZ-V-003", 6), ("unknown_field", "UZ-V-003", 7), ("kind_mismatch", "topic/a", 3), ("id_mismatch", None, 1)}
 
 
 def test_sections(spark):
@@ -122,3 +122,10 @@ def test_bad_configurations(raw):
 def test_presets_are_valid():
     assert set(presets()) == {"adr", "spec"} and isinstance(presets()["spec"], Config)
     assert len(presets()["spec"].kinds) == 8 and len(presets()["spec"].edges) == 10
+
+
+def test_lines_end_at_line_feeds_alone():
+    links, headings = markdown.scan("a\x0cb\u2028c\r\n# Two\r\n``` a`b\n[[0002]]\n````\n[[0003]]\n```\n[[0004]]\n`````  \n[[0005]]", 1)
+    assert [(h[1], h[2]) for h in headings] == [("Two", 2)]
+    assert [(x[0], x[2]) for x in links] == [("0002", 4), ("0005", 10)]
+    assert markdown.split_block("---\na: b\x0cc\n---\nx") == ("a: b\x0cc\n", "x", 4)

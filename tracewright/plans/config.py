@@ -328,6 +328,9 @@ def read_projection(raw: Mapping) -> Projection:
     return Projection(raw["name"], tuple(Condition.read(c) for c in (raw["any_of"] if "any_of" in raw else [raw["when"]])))
 
 
+#: ``acyclic_union: true``: all acyclic edges that the merged configuration has.
+ALL = ("*",)
+
 READERS = {
     "preset": ("preset", str),
     "preset_version": ("revision", int),
@@ -346,7 +349,7 @@ READERS = {
     "binding": ("binding", str),
     "rules": ("rules", lambda raw: tuple(Rule(r["name"], r.get("severity", "warn"), Condition.read(r["when"]), r.get("message", "")) for r in raw)),
     "path_constraints": ("path_constraints", lambda raw: tuple(PathConstraint(p["name"], tuple(p["path"]), tuple(p["subset_of"]) if "subset_of" in p else None, p.get("severity", "error")) for p in raw)),
-    "acyclic_union": ("acyclic_union", tuple),
+    "acyclic_union": ("acyclic_union", lambda raw: ALL if raw is True else tuple(raw or ())),
     "references": ("references", lambda raw: References(tuple(raw.get("scan", ("body",))), raw.get("dangling", "off"))),
     "structural": ("severities", lambda raw: tuple(sorted(raw.items()))),
 }
@@ -360,6 +363,8 @@ def read(raw: Mapping | None, base: Config | None = None) -> Config:
     given = {READERS[k][0]: READERS[k][1](v) for k, v in raw.items()}
     base = base if base is not None else presets()[given.get("preset") or "adr"]
     merged = replace(base, **given)
+    if merged.acyclic_union == ALL:
+        merged = replace(merged, acyclic_union=tuple(e.name for e in merged.edges if e.acyclic))
     if merged.status_field != base.status_field and "projections" not in given:
         merged = replace(merged, projections=tuple(default_binding(merged.status_field) if p == default_binding(base.status_field) else p for p in base.projections))
     if "edges" in given and "projections" not in given:  # inherited projections over edges that are gone

@@ -347,7 +347,7 @@ def first_declared(spark, sf_dir):
     return first(both).select("src", "dst", "origin")
 
 
-@query("next_identity", "SELECT lpad(CAST(max(CAST(id AS BIGINT)) + 1 AS VARCHAR), 4, '0') AS id FROM clauses WHERE length(CAST(CAST(id AS BIGINT) + 1 AS VARCHAR)) >= 4 OR true")
+@query("next_identity", "SELECT CASE WHEN length(following) >= 4 THEN following ELSE lpad(following, 4, '0') END AS id FROM (SELECT CAST(max(CAST(id AS BIGINT)) + 1 AS VARCHAR) AS following FROM clauses)")
 def next_identity(spark, sf_dir):
     from tracewright.functions.identity import next_identity as following
 

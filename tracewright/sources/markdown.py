@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
@@ -23,7 +23,8 @@ from tracewright.operators.periods import by_kind
 from tracewright.plans.config import ADR_NAME, Config
 
 PARSED = "path string, name string, kind string, has_block boolean, fm string, key_lines map<string,int>, body string, body_line int, error string, error_line int, links array<struct<target:string,alias:string,line:int>>, headings array<struct<level:int,text:string,line:int>>"
-FENCE = re.compile(r"^ {0,3}(`{3,}|~{3,})")
+#: The info string of a fence of backticks holds none.
+FENCE = re.compile(r"^ {0,3}(?:(`{3,})(?=[^`]*$)|(~{3,}))")
 HEADING = re.compile(r"^ {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$")
 LINK = re.compile(r"\[\[([^\]|]+)(?:\|([^\]]*))?\]\]|\[([^\]]*)\]\(([^)\s]+)[^)]*\)")
 EXEMPT = re.compile(r"^(_.*|\..*|readme\.md|index\.md|.*template.*\.md)$", re.I)
@@ -31,12 +32,12 @@ EXEMPT = re.compile(r"^(_.*|\..*|readme\.md|index\.md|.*template.*\.md)$", re.I)
 
 def split_block(text: str) -> tuple[str | None, str, int]:
     """The block between leading --- lines (None without), the body, and the body's first line number."""
-    lines = text.removeprefix("﻿").splitlines(keepends=True)
-    if not lines or lines[0].rstrip("\r\n") != "---":
+    lines = text.removeprefix("\ufeff").split("\n")
+    if lines[0].rstrip("\r") != "---":
         return None, text, 1
     for i, line in enumerate(lines[1:], 1):
-        if line.rstrip("\r\n") == "---":
-            return "".join(lines[1:i]), "".join(lines[i + 1 :]), i + 2
+        if line.rstrip("\r") == "---":
+            return "".join(x + "\n" for x in lines[1:i]), "\n".join(lines[i + 1 :]), i + 2
     return None, text, 1
 
 
@@ -74,15 +75,15 @@ def decode(block: str) -> tuple[dict, dict[str, int]]:
 def scan(body: str, first: int) -> tuple[list, list]:
     """Links and headings outside fenced and inline code."""
     links, headings, fence = [], [], None
-    for i, line in enumerate(body.splitlines()):
-        if m := FENCE.match(line):
-            if fence is None:
-                fence = m[1]
-                continue
-            if m[1][0] == fence[0] and len(m[1]) >= len(fence) and not line.strip().strip(fence[0]):
+    for i, line in enumerate(x.rstrip("\r") for x in body.split("\n")):
+        m = FENCE.match(line)
+        if fence is not None:
+            run = line.strip()
+            if m and run.strip(fence[0]) == "" and len(run) >= len(fence):
                 fence = None
             continue
-        if fence is not None:
+        if m:
+            fence = m[1] or m[2]
             continue
         if m := HEADING.match(line):
             headings.append((len(m[1]), (m[2] or "").strip(), first + i))
@@ -293,6 +294,14 @@ def build_refs(docs: DataFrame, nodes: DataFrame, cfg: Config) -> DataFrame:
     return links.where(document & (name != "")).select("src", target.alias("dst")).where("dst IS NOT NULL AND src <> dst").distinct()
 
 
+def is_heading(names: list[str], level: int | None) -> Callable[[Column], Column]:
+    def fits(h: Column) -> Column:
+        same = T.heading(h["text"]).isin(names)
+        return same & (h["level"] == level) if level else same
+
+    return fits
+
+
 def section_findings(corpus: Corpus) -> DataFrame:
     """Required headings that are missing, and those out of their declared order."""
     cfg, parts = corpus.cfg, []
@@ -303,7 +312,7 @@ def section_findings(corpus: Corpus) -> DataFrame:
         for s in k.sections:
             names = [w.strip().rstrip(":").lower() for w in s.heading.split("|")]
             wanted = own.where(F.lower("status") == s.status.lower()) if s.status else own
-            has = F.exists("headings", lambda h, names=names, s=s: T.heading(h["text"]).isin(names) & ((h["level"] == s.level) if s.level else F.lit(True)))
+            has = F.exists("headings", is_heading(names, s.level))
             parts.append(checks.found(wanted.where(~has), "missing_section", cfg, F.lit(f"has no section {s.heading}")))
         if k.ordered_sections and k.sections:
             places = F.create_map(*(F.lit(x) for i, s in enumerate(k.sections) for w in s.heading.split("|") for x in (w.strip().rstrip(":").lower(), i)))
