@@ -87,3 +87,11 @@ def test_backward_extension(length):
         counts = Counter(data[i : i + length] for i in range(len(data) - length + 1))
         want = [i for i in range(len(data) - length + 1) if counts[data[i : i + length]] > 1]
         assert repeat_removal.bwt_repeats(data, length).tolist() == want
+
+
+def test_short_runs_can_stay(spark):
+    passage = " ".join(f"word{i}" for i in range(30))
+    texts = [f"one1 {passage} two", f"three2 {passage} four", "x " + "=" * 150 + " y", "z " + "=" * 150 + " w"]
+    df = spark.createDataFrame([(i, t, "a") for i, t in enumerate(texts)], "doc_id long, text string, cut_h1 string")
+    out = {r.doc_id: r.text for r in repeat_removal.cleaned(df, 60, least_words=20).collect()}
+    assert out == {0: "one1two", 1: "three2four", 2: texts[2], 3: texts[3]}

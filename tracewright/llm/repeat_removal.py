@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import BYTE_CODES, POWERS, U64, lean, materialize, mix64, modest_batches, n_partitions, prefix_sums, release
+from tracewright.llm.common import BYTE_CODES, POWERS, U64, discard, lean, materialize, mix64, modest_batches, n_partitions, prefix_sums, release
 
 LENGTH = 400
 GRAM = 32
@@ -329,23 +329,28 @@ class Repeats:
     rows: doc_id, h1, h2, sha256, n_bytes of each row; nodes: nid, h1, h2, rep (a document with
     the text), copies, n_bytes of each text; hits: nid, text of those that may hold
     a repeated string; spans: nid, spans (first and last + 1 of maximal repeated runs).
+    Where only the spans are asked for, the tables of rows and hits are deleted once they are read.
     """
 
-    def __init__(self, docs: DataFrame, length: int = LENGTH):
+    def __init__(self, docs: DataFrame, length: int = LENGTH, spans_alone: bool = False):
         self.length = length
         modest_batches(docs.sparkSession)
         self.rows = materialize(anchored(docs, length))
         nodes = self.rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_bytes").alias("n_bytes"), F.first("places").alias("places"), F.first("grams").alias("grams"))
-        self.nodes = materialize(nodes.withColumn("nid", F.monotonically_increasing_id()))
+        with_anchors = materialize(nodes.withColumn("nid", F.monotonically_increasing_id()))
+        if spans_alone:
+            discard(self.rows)
+        self.nodes = materialize(with_anchors.drop("places", "grams"))
         release(docs.sparkSession)
         zipped = F.explode(F.arrays_zip("places", "grams")).alias("x")
-        every = self.nodes.where(F.size("places") > 0).select("nid", zipped).select("nid", F.col("x.places").alias("place"), F.col("x.grams").alias("gram"))
+        every = with_anchors.where(F.size("places") > 0).select("nid", zipped).select("nid", F.col("x.places").alias("place"), F.col("x.grams").alias("gram"))
         counts = every.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1")
         found = every.join(counts, "gram").groupBy("nid").agg(F.collect_list(F.struct("place", "gram", "m")).alias("anchors"))
         found = found.join(self.nodes.select("nid", "h1", "h2", "rep"), "nid")
         texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *(k.alias(f"own_{i}") for i, k in enumerate(text_keys())))
         same = F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("own_0") == F.col("h1")) & (F.col("own_1") == F.col("h2"))
         self.hits = materialize(texts.join(found, same).select("nid", "text", "anchors"))
+        discard(with_anchors)
         release(docs.sparkSession)
         around = around_anchors(self.hits, length)
         small = around.where(F.col("m") <= LARGE).repartition(n_partitions(docs.sparkSession), "gram").sortWithinPartitions("gram")
@@ -356,6 +361,10 @@ class Repeats:
             pieces = pieces.union(large_groups(large, length))
         lists = pieces.groupBy("nid").agg(F.collect_set(F.struct("first", "last")).alias("pieces"))
         self.spans = lists.mapInArrow(join_spans, "nid long, spans array<struct<first:long,last:long>>")
+        if spans_alone:
+            self.spans = materialize(self.spans)
+            discard(self.hits)
+            release(docs.sparkSession)
 
 
 def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -427,7 +436,7 @@ def cleaned(docs: DataFrame, length: int = LENGTH, least_words: int = 1) -> Data
     Only maximal repeated runs of ``least_words`` words and more are left out, the words that
     a run cuts at its ends included.  All of docs' columns come back, whatever their names.
     """
-    found = Repeats(docs, length)
+    found = Repeats(docs, length, spans_alone=True)
     spans = found.nodes.select("nid", "h1", "h2", "copies", "n_bytes").join(found.spans, "nid", "left")
     whole = F.array(F.struct(F.lit(0).cast("long").alias("first"), F.col("n_bytes").alias("last")))
     cut = spans.withColumn("spans", F.when((F.col("copies") > 1) & (F.col("n_bytes") >= length), whole).otherwise(F.col("spans"))).where("spans IS NOT NULL")
