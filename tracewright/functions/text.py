@@ -20,9 +20,9 @@ def kebab(title: Column) -> Column:
 
 
 def label(text: Column, most: int = 40) -> Column:
-    """One line without double quotes, cut after ``most`` characters."""
+    """One line without double quotes, of at most ``most`` characters, the last three of a longer one dots."""
     line = F.replace(F.trim(F.regexp_replace(text, r"\s+", " ")), F.lit('"'), F.lit("'"))
-    return F.when(F.char_length(line) > most, F.concat(F.substring(line, 1, most), F.lit("..."))).otherwise(line)
+    return F.when(F.char_length(line) > most, F.concat(F.substring(line, 1, max(0, most - 3)), F.lit("..."))).otherwise(line)
 
 
 def tokens(text: Column) -> Column:
@@ -66,3 +66,9 @@ def accepts(value: Column, kind: str, one_of: tuple[str, ...]) -> Column:
     if kind == "date":
         return valid_day(value).isNotNull()
     return F.coalesce(F.trim(value) != "", F.lit(False))
+
+
+def alternatives(names: Column) -> Column:
+    """A list as "a, b or c"."""
+    several = F.concat(F.array_join(F.slice(names, F.lit(1), F.greatest(F.size(names) - 1, F.lit(0))), ", "), F.lit(" or "), F.element_at(names, -1))
+    return F.when(F.size(names) == 0, F.lit("")).when(F.size(names) == 1, F.element_at(names, 1)).otherwise(several)

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from tracewright.functions import text as T
 from tracewright.functions.identity import unpadded
 from tracewright.operators import graph
-from tracewright.operators.corpus import FINDING, Corpus, stored
+from tracewright.operators.corpus import FINDING, Corpus
+from tracewright.scratch import stored
 from tracewright.operators.periods import by_kind
 from tracewright.plans import conditions
 from tracewright.plans.config import SEVERITIES, Config
@@ -323,12 +324,21 @@ def modality_pairs(c: Corpus) -> DataFrame:
     return judged.withColumn("defeater", defeater).drop("ab", "ba")
 
 
+def conflict_text() -> Column:
+    return F.format_string("%s conflicts with %s (%s) on %s", F.col("modality_a"), F.col("b"), F.col("modality_b"), F.array_join("topics", ", "))
+
+
+def settled_text() -> Column:
+    """A conflict that an exception settles, from columns of ``modality_pairs``."""
+    other = F.when(F.col("defeater") == F.col("a"), F.col("b")).otherwise(F.col("a"))
+    return F.format_string("%s (%s) and %s (%s) on %s: settled, %s makes an exception to %s", F.col("a"), F.col("modality_a"), F.col("b"), F.col("modality_b"), F.array_join("topics", ", "), F.col("defeater"), other)
+
+
 def modality_conflict(c: Corpus) -> DataFrame:
     if c.cfg.edge("about") is None:
         return none(c)
     rows = located(modality_pairs(c).withColumnRenamed("a", "id"), c)
-    detail = F.format_string("%s conflicts with %s (%s) on %s", F.col("modality_a"), F.col("b"), F.col("modality_b"), F.array_join("topics", ", "))
-    return found(rows, "modality_conflict", c.cfg, detail, line_of("modality"), related=F.array("b"), suppressed=F.col("defeater").isNotNull())
+    return found(rows, "modality_conflict", c.cfg, conflict_text(), line_of("modality"), related=F.array("b"), suppressed=F.col("defeater").isNotNull())
 
 
 def excepts_strict(c: Corpus) -> DataFrame:
@@ -485,3 +495,44 @@ def suggestions(c: Corpus, rows: DataFrame, most: int = 3) -> DataFrame:
     best = close.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most).groupBy("id", "lost").agg(F.sort_array(F.collect_list(F.struct("nth", "near"))).alias("best"))
     best = best.select(F.col("id").alias("owner"), F.col("lost").alias("sought"), F.array_join(F.col("best.near"), ", ").alias("fix"))
     return keyed.join(best, F.col("id").eqNullSafe(F.col("owner")) & (F.col("lost") == F.col("sought")), "left").drop("lost", "owner", "sought")
+
+
+def supersedes_key(cfg: Config) -> str:
+    e = cfg.edge("supersedes")
+    return e.key if e else "supersedes"
+
+
+def with_fixes(c: Corpus, rows: DataFrame) -> DataFrame:
+    """Adds fix, what would mend a finding; null where nothing general can be said."""
+    cfg = c.cfg
+    status = cfg.status_field
+    near = suggestions(c, rows).withColumnRenamed("fix", "near")
+    names = F.split("near", ", ")
+    rule = F.col("rule")
+    words = ", ".join(cfg.statuses)
+    derived = c.edges.where(F.col("origin").startswith("derived")).groupBy(F.col("dst").alias("fixed")).agg(F.min("src").alias("holder"), F.min_by("type", "src").alias("edge"))
+    keys = F.create_map(*(F.lit(x) for e in cfg.edges for x in (e.name, e.key))) if cfg.edges else F.create_map().cast("map<string,string>")
+    leaf = standing(c).withColumnRenamed("id", "leaf_of")
+    meant = F.regexp_extract("detail", "leads to (.*), which it may not$", 1)
+    out = near.join(derived, (rule == "unstructured_supersedes") & (F.col("id") == F.col("fixed")), "left").join(leaf, (rule == "stale_target") & (meant == F.col("leaf_of")), "left")
+    fix = (
+        F.when(rule == "dangling_ref", F.when(F.col("near").isNotNull(), F.concat(F.lit("did you mean "), T.alternatives(names), F.lit("?"))))
+        .when(rule == "unmentioned_edge", F.format_string("cite [[%s]] or link to it in the text", F.regexp_extract("detail", " to (.*) is not mentioned", 1)))
+        .when(rule == "status_drift", F.concat(F.lit(f"set {status}: superseded in "), F.col("path")))
+        .when(rule == "superseded_orphan", F.concat(F.lit(f"declare {supersedes_key(cfg)}: "), F.col("id"), F.lit(f" in the document that replaces it, or set {status}: withdrawn")))
+        .when(rule == "unstructured_supersedes", F.concat(F.lit("declare "), F.coalesce(F.try_element_at(keys, F.col("edge")), F.col("edge")), F.lit(": "), F.col("id"), F.lit(" in "), F.col("holder")))
+        .when(rule == "stale_target", F.concat(F.lit("lead to "), F.col("leaf"), F.lit(" instead")))
+        .when((rule == "unknown_status") & F.lit(bool(words)), F.lit(f"use one of: {words}"))
+        .when(rule == "missing_frontmatter", F.lit(f"add a block with title and {status}"))
+        .when(rule == "cycle", F.lit("remove one of its edges"))
+        .when(rule == "deprecated_field", F.concat(F.lit("move "), F.nullif(F.regexp_extract("detail", "^(.*) is retired; (.*) takes its place$", 1), F.lit("")), F.lit(" to "), F.regexp_extract("detail", "; (.*) takes its place$", 1)))
+        .when(rule == "unmanaged_file", F.lit("rename the file, or move it out of the folder"))
+    )
+    return out.withColumn("fix", fix).drop("near", "fixed", "holder", "edge", "leaf_of", "leaf")
+
+
+def standing(c: Corpus) -> DataFrame:
+    """id and leaf: the only accepted document in force that supersedes it at once."""
+    heads = c.dated.where((F.lower("status") == "accepted") & F.col("in_force")).select(F.col("id").alias("src"))
+    ends = c.edges.where("type = 'supersedes'").join(heads, "src", "left_semi").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("leaf"), F.count("*").alias("n"))
+    return ends.where("n = 1").select("id", "leaf")

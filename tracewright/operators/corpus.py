@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from dataclasses import dataclass, replace
 from functools import cached_property
 
@@ -13,31 +11,13 @@ from pyspark.sql import functions as F
 from tracewright.operators import periods
 from tracewright.plans import conditions
 from tracewright.plans.config import Config
+from tracewright.scratch import stored
 
 NODE = "id string, kind string, path string, title string, status string, date string, line int, scalars map<string,string>, lists map<string,array<string>>, key_lines map<string,int>"
 EDGE = "src string, dst string, type string, origin string, attrs map<string,string>"
 FINDING = "severity string, rule string, id string, detail string, path string, line int, related array<string>, suppressed boolean"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
-    sc = spark.sparkContext
-    if named := sc.getConf().get("spark.checkpoint.dir", None):
-        return named.rstrip("/")
-    current = sc._jsc.sc().getCheckpointDir()
-    if current.isEmpty():
-        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="scratch-"))
-        current = sc._jsc.sc().getCheckpointDir()
-    return current.get().rstrip("/")
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read again, which ends its lineage."""
-    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 @dataclass(frozen=True)
 class Corpus:
     """nodes (one for each id), edges (unique by src, dst, type), reference edges, retractions and findings of the build."""
@@ -85,6 +65,15 @@ class Corpus:
         frame, _ = conditions.with_projections(conditions.frame_of(self.dated, self.weighing), self.weighing, self.cfg)
         return frame
 
+    def prepared(self) -> Corpus:
+        """The same corpus with dated, weighing and frame written once; whatever reads them no longer plans them anew."""
+        out = replace(self, nodes=stored(self.nodes), edges=stored(self.edges))
+        if self.refs is not None:
+            out = replace(out, refs=stored(self.refs))
+        for name in ("dated", "weighing", "frame"):
+            out.__dict__[name] = stored(getattr(out, name))
+        return out
+
     @property
     def projections(self) -> list[str]:
         return [p.name for p in self.cfg.projections]

@@ -11,7 +11,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.operators.corpus import Corpus, stored
+from tracewright.operators.corpus import Corpus
+from tracewright.scratch import stored
 
 
 def steps(edges: DataFrame, types: list[str] | None = None, reverse: bool = False) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.plans.config import IN_FORCE, AttrTest, Condition, Config, Degree, Via, projection_order
+from tracewright.scratch import stored
 
 PREFIX = "is_"
 
@@ -110,6 +111,8 @@ def with_projections(frame: DataFrame, edges: DataFrame, cfg: Config) -> tuple[D
         frame = with_conditions(frame, edges, {PREFIX + p.name: p.any_of for p in ready}, done)
         done += [p.name for p in ready]
         left = [p for p in left if p not in ready]
+        if left:  # the next layer reads this one several times
+            frame = stored(frame)
     for p in cfg.projections:
         if p.name not in done:
             frame = frame.withColumn(PREFIX + p.name, F.lit(False))

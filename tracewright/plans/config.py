@@ -144,6 +144,7 @@ class Edge:
     attrs: tuple[tuple[str, EdgeAttr], ...] = ()
     target: Target | None = None
     require_mention: str = "off"
+    appendable: bool = False
 
 
 @dataclass(frozen=True)
@@ -296,6 +297,7 @@ def read_edge(raw: Mapping) -> Edge:
         attrs=tuple((k, EdgeAttr(v.get("required", False), v.get("type", "string"), tuple(v.get("one_of", ())))) for k, v in sorted(raw.get("attrs", {}).items())),
         target=Target(Condition.read({k: v for k, v in target.items() if k != "leaf_of"}), target.get("leaf_of")) if target else None,
         require_mention=raw.get("require_mention", "off"),
+        appendable=raw.get("appendable", False),
     )
 
 

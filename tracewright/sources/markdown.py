@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from tracewright.functions import text as T
 from tracewright.functions.identity import anchored, is_document_link, normalised, numbered_identity, shaped, unpadded
 from tracewright.operators import checks
-from tracewright.operators.corpus import FINDING, Corpus, first_declared, stored
+from tracewright.operators.corpus import FINDING, Corpus, first_declared
+from tracewright.scratch import stored
 from tracewright.operators.periods import by_kind
 from tracewright.plans.config import ADR_NAME, Config
 
