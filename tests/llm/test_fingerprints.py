@@ -67,3 +67,29 @@ def test_column(spark):
     df = spark.createDataFrame([(1, "a b"), (2, None), (3, "a b")], "doc_id long, text string")
     out = [r.fingerprint for r in fingerprints(df).orderBy("doc_id").collect()]
     assert out[0] == out[2] == fingerprint("a b") and out[1] == fingerprint("")
+
+
+def test_likeness_is_what_common_extensions_cover():
+    rng = random.Random(9)
+    prose = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    a, b = prose(400), prose(300)
+    x = Fingerprinted(1, a)
+    edited = Fingerprinted(2, a[:100] + b)
+    assert x.likeness(edited) == edited.likeness(x) == 200 / 800
+    assert x.likeness(Fingerprinted(3, b)) == 0
+    assert x.likeness(Fingerprinted(4, a)) == 1
+    moved = Fingerprinted(5, b[:150] + a[200:] + b[150:])
+    assert x.likeness(moved) == 0 or 0 <= x.likeness(moved) - 400 / 900 < 0.02  # by whether both keep a span of it; ends may fit by chance
+    assert Fingerprinted(6, "").likeness(Fingerprinted(7, "abc")) == 0
+
+
+def test_the_edited_text_keeps_its_parts_hashes():
+    rng = random.Random(10)
+    for _ in range(200):
+        a, b = ("".join(rng.choice("ab") for _ in range(rng.randint(0, 120))) for _ in range(2))
+        x, y = Fingerprinted(1, a), Fingerprinted(2, b)
+        stays, taken = len(a) - len(a) // 3, min(len(a) // 3, len(b))
+        text = a[:stays] + b[:taken]
+        got, want = x.edited(y, stays, taken, text), Fingerprinted(3, text)
+        assert got.sketch[0] == want.sketch[0] and (got.sketch[1] == want.sketch[1]).all()
+        assert all((s == t).all() for s, t in zip(got.hashes.sums, want.hashes.sums, strict=True))

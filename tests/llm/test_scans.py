@@ -1,5 +1,6 @@
 import random
 import re
+import zlib
 
 import duckdb
 import numpy as np
@@ -105,3 +106,50 @@ def test_language_id_odd_rows(spark, tmp_path, labelled):
     assert [r.lang_pred for r in out[:3]] == ["und"] * 3
     assert all(0 <= r.score <= 1 for r in out)
     assert (out[5].lang_pred, out[5].score) == (out[6].lang_pred, out[6].score)
+
+
+def test_fractions_and_number_signs_are_no_letters(spark, tmp_path):
+    texts = ["½ ² Ⅷ ١ 3", "the of and", "漢"]
+    data = [(i, t, "en") for i, t in enumerate(texts)]
+    spark.createDataFrame(data, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = entries.op4_language_id(spark, str(tmp_path)).orderBy("doc_id").collect()
+    assert [r.lang_pred == "und" for r in out] == [True, False, False]
+    assert [r.held_out for r in out] == [zlib.crc32(str(i).encode()) % 3 == 1 for i in range(3)]
+    empty = spark.createDataFrame([], "doc_id long, text string, lang string")
+    assert language_id.predict(empty, language_id.trained(empty)).collect() == []
+
+
+def test_held_out_is_that_of_the_checksum(spark):
+    ids = [None, 0, 7, -3, 10**12, 123456789]
+    df = spark.createDataFrame([(i,) for i in ids], "doc_id long").withColumn("h", language_id.held_out())
+    assert [r.h for r in df.collect()] == [i is not None and zlib.crc32(str(i).encode()) % 3 == 1 for i in ids]
+
+
+def test_verdicts_come_from_the_cascades(spark, monkeypatch):
+    """Without later levels, keys that the first level lets through wrongly change verdicts."""
+    urls = [(i, f"http://h{i}.example.com/en/{i}") for i in range(4000)]
+    pages = spark.createDataFrame(urls, "page_id long, url string")
+    rules = [url_filter.Rule("block", "h1.example.com", "/en/"), url_filter.Rule("allow", "h2.example.com", "/en/")]
+    hosts = [f"h{i}.example.com" for i in range(1000, 1200)]
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge(pages, rules, hosts).collect()}
+    assert got[1] == ("h1.example.com/en/", "block") and got[2] == ("h2.example.com/en/", "allow")
+    assert {i for i, (_, v) in got.items() if v == "block"} == {1, *range(1000, 1200)}
+    cascades = url_filter.build(pages, {"hosts": hosts}, (4, 0))
+    assert len(cascades["hosts"].levels) > 1
+    monkeypatch.setattr(url_filter.Cascade, "grown", classmethod(lambda cls, first, listed, wrong: cls([first])))
+    assert {r.page_id: (r.rule, r.verdict) for r in url_filter.judge(pages, rules, hosts).collect()} != got
+
+
+def test_labels_of_the_method():
+    scan = lambda t: license_scan.scan_text(t, license_scan.BASE_PHRASES, license_scan.NOTICE_PHRASES)
+    assert scan("it is cc by nc here")[5] == ["cc-by-nc"]  # not cc-by, which is within it
+    assert scan("cc by nc and cc by")[5] == ["cc-by", "cc-by-nc"]
+    assert scan("SPDX-License-Identifier: LGPL-2.1-only")[5:8] == (["lgpl"], 1.0, False)
+    assert scan("SPDX-License-Identifier: EUPL-1.2 and then prose")[5:8] == (["eupl-1.2"], 1.0, False)
+    assert scan("SPDX-License-Identifier: GPL-3.0-only OR MIT")[5:8] == (["gpl-3", "mit"], 1.0, True)
+    assert scan("SPDX-License-Identifier: GPL-3.0-only AND MIT")[7] is False
+    assert scan("no license")[7] is None
+
+
+def test_license_scan_of_nothing(spark):
+    assert license_scan.scan(spark.createDataFrame([], "doc_id long, text string")).collect() == []

@@ -2,6 +2,7 @@ import random
 from collections import defaultdict
 from fractions import Fraction
 
+import duckdb
 import numpy as np
 
 from tracewright.llm import entries, mixing, topk_search
@@ -25,7 +26,7 @@ def test_top_k(spark, tmp_path, monkeypatch):
     want = brute_top(rows)
     assert sorted(map(tuple, entries.op7_topk_search(spark, str(tmp_path)).select("query_id", "rank", "vec_id", "score").collect())) == want
     monkeypatch.setattr(topk_search, "BLOCK_ROWS", 200)
-    monkeypatch.setattr(topk_search, "CHUNK_ROWS", 9)
+    monkeypatch.setattr(topk_search, "QUERIES_AT_ONCE", 9)
     monkeypatch.setattr(topk_search, "FIRST_DEPTH", 4)
     assert sorted(map(tuple, entries.op7_topk_search(spark, str(tmp_path)).select("query_id", "rank", "vec_id", "score").collect())) == want
 
@@ -38,30 +39,33 @@ def test_top_k_few(spark):
     assert topk_search.top_k(spark.createDataFrame([], schema), q).collect() == []
     assert topk_search.top_k(spark.createDataFrame([(0, [1.0])], schema), q).collect() == []
     got = topk_search.top_k(spark.createDataFrame([(0, [1.0]), (0, [1.0]), (1, [2.0]), (1, [3.0])], schema), q).collect()
-    assert [tuple(r) for r in got] == [(0, 1, 1, 64 * 192)]
+    assert [tuple(r) for r in got] == [(0, 1, 1, 64 * 192), (0, 2, 1, 64 * 192), (0, 3, 1, 64 * 128), (0, 4, 1, 64 * 128)]
     big = topk_search.top_k(spark.createDataFrame([(0, [3e6]), (1, [3e6]), (2, [-3e6])], schema), q).orderBy("rank").collect()
     assert [r.score for r in big] == [192000000**2, -(192000000**2)]
 
 
-def test_top_k_of_repeated_ids(spark, monkeypatch):
-    """More than k rows of the best id, two of every other: each id takes one place."""
-    from pyspark.sql import functions as F
-
+def test_top_k_of_repeated_ids(spark, tmp_path, monkeypatch):
+    """More than k rows of the best id, two of every other: each row is a candidate, as in the SQL."""
     rng = np.random.default_rng(5)
-    rows = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(300) for _ in range(2)]
+    rows = [(i, [float(x) for x in rng.normal(size=4).astype(np.float32)]) for i in range(300) for _ in range(2)]
     rows += [(1, [9.0 * (x > 0) - 9.0 * (x < 0) for x in rows[0][1]])] * 30 + [(7, [8.0] * 4)] * 25
-    best = {}
-    for q, v in rows:
-        for i, w in rows:
-            if q % 20 == 0 and i != q:
-                score = sum(int(np.floor(64.0 * np.float32(a))) * int(np.floor(64.0 * np.float32(b))) for a, b in zip(v, w, strict=True))
-                best[q, i] = max(score, best.get((q, i), score))
-    want = [(q, r + 1, i, -s) for q in range(0, 300, 20) for r, (s, i) in enumerate(sorted((-s, i) for (p, i), s in best.items() if p == q)[:20])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    for first_depth in (topk_search.FIRST_DEPTH, 4):
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = sorted(con.execute(f"SELECT query_id, rank, vec_id, score FROM ({entries.OP7_SQL})").fetchall())
+    for first_depth, block_rows in ((topk_search.FIRST_DEPTH, topk_search.BLOCK_ROWS), (4, 100)):
         monkeypatch.setattr(topk_search, "FIRST_DEPTH", first_depth)
-        got = topk_search.top_k(df, F.col("vec_id") % 20 == 0).select("query_id", "rank", "vec_id", "score").collect()
-        assert sorted(map(tuple, got)) == sorted(want)
+        monkeypatch.setattr(topk_search, "BLOCK_ROWS", block_rows)
+        got = entries.op7_topk_search(spark, str(tmp_path)).select("query_id", "rank", "vec_id", "score").collect()
+        assert sorted(map(tuple, got)) == want
+
+
+def test_a_bound_from_elsewhere_skips_a_block(monkeypatch):
+    rows = np.arange(400.0).reshape(100, 4)
+    block = topk_search.Block(np.arange(100), rows)
+    monkeypatch.setattr(topk_search, "scores_of", None)  # any search would fail
+    scores, _ = block.search(np.array([-1]), np.ones((1, 4)), 5, np.array([10**6]))
+    assert (scores == topk_search.LOWEST).all()
 
 
 def test_bound_stops_early():
@@ -72,7 +76,7 @@ def test_bound_stops_early():
     real = topk_search.scores_of
     topk_search.scores_of = lambda q, r: met.append(len(r)) or real(q, r)
     try:
-        scores, found = topk_search.threshold_search(ids, rows, np.array([-1]), np.array([[2.0, 0, 0, 0]]), 5)
+        scores, found = topk_search.Block(ids, rows).search(np.array([-1]), np.array([[2.0, 0, 0, 0]]), 5)
     finally:
         topk_search.scores_of = real
     assert sorted(found[0]) == [0, 1, 2, 3, 4] and sum(met) < 1000

@@ -5,12 +5,17 @@ of any span by one subtraction and one product.  Two spans are compared at once,
 longest common extension of two places is found by binary search over its length.
 
 A fingerprint is the hash of the whole text, then the ``KEPT`` smallest mixed hashes of
-its spans of ``SPAN`` code points (of the whole text, if shorter), in hexadecimal.  The
-likeness of two fingerprints is 1 when they are equal, else the share of the smallest
-kept values of both together that both hold, an estimate of the Jaccard index.  Equal
+its spans of ``SPAN`` code points (of the whole text, if shorter), in hexadecimal.  Equal
 texts have equal fingerprints; the empty text's has no kept values.
 
-Null text counts as empty.
+The likeness of two fingerprints is 1 when they are equal.  Else spans that both keep, and
+the beginnings, are places that the texts may have in common; from each the longest common
+extension is taken both ways, by binary search over the prefix hashes.  Likeness is the
+share of both texts' code points that such extensions of ``SPAN`` and more cover.
+
+Null text counts as empty.  An empty table has an empty result; repeated rows are followed
+by each other; very long texts take memory in proportion to their length, one at a time.
+Columns other than doc_id and text are not looked at.
 """
 
 from __future__ import annotations
@@ -63,6 +68,16 @@ class PrefixHashes:
             np.cumsum(self.codes * up[: self.n] % U64(powers.prime), out=sums[1:])
             self.sums.append(sums % U64(powers.prime))
 
+    def followed(self, other: PrefixHashes, stays: int, taken: int, text: str) -> PrefixHashes:
+        """The hashes of the first ``stays`` code points here and the first ``taken`` there, one after the other."""
+        out = object.__new__(PrefixHashes)
+        out.text, out.n, out.sums = text, stays + taken, []
+        for powers, a, b in zip(POWERS, self.sums, other.sums, strict=True):
+            prime = U64(powers.prime)
+            step = powers.to(stays + 1)[0][stays]
+            out.sums.append(np.concatenate([a[: stays + 1], (b[1 : taken + 1] * step + a[stays]) % prime]))
+        return out
+
     def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Mixed hashes of the spans [start, end), equal for equal spans of any texts."""
         both = []
@@ -75,6 +90,11 @@ class PrefixHashes:
     def span(self, start: int, end: int) -> int:
         return int(self.spans(np.array([start]), np.array([end]))[0])
 
+    def residues(self, start: int, end: int) -> tuple[int, int]:
+        """The unmixed hashes of one span."""
+        a, b = ((int(sums[end]) - int(sums[start])) * int(powers.to(self.n + 1)[1][start]) % powers.prime for powers, sums in zip(POWERS, self.sums, strict=True))
+        return a, b
+
     def windows(self) -> np.ndarray:
         """Hashes of all spans of SPAN code points, by start."""
         starts = slice(0, max(0, self.n - SPAN + 1))
@@ -87,7 +107,7 @@ class PrefixHashes:
 
     def equal(self, i: int, j: int, size: int, other: PrefixHashes | None = None) -> bool:
         """Whether the spans of ``size`` code points at i here and at j there are equal."""
-        return self.span(i, i + size) == (other or self).span(j, j + size)
+        return self.residues(i, i + size) == (other or self).residues(j, j + size)
 
     def extension(self, i: int, j: int, other: PrefixHashes | None = None) -> int:
         """The length of the longest common extension of place i here and place j there."""
@@ -100,6 +120,17 @@ class PrefixHashes:
                 high = middle - 1
         return low
 
+    def extension_back(self, i: int, j: int, other: PrefixHashes | None = None) -> int:
+        """The length of what the texts before place i here and place j there end with in common."""
+        low, high = 0, min(i, j)
+        while low < high:
+            middle = (low + high + 1) // 2
+            if self.equal(i - middle, j - middle, middle, other):
+                low = middle
+            else:
+                high = middle - 1
+        return low
+
 
 def kept(values: np.ndarray) -> np.ndarray:
     """The KEPT smallest distinct values, in order."""
@@ -124,13 +155,10 @@ def sketch(hashes: PrefixHashes, windows: np.ndarray) -> tuple[int, np.ndarray]:
     return whole, kept(windows) if len(windows) else np.array([whole][: hashes.n], dtype=U64)
 
 
-def likeness(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray]) -> float:
-    """From 0 to 1, of two sketches."""
-    if a[0] == b[0]:
-        return 1.0
-    both, counts = np.unique(np.concatenate([a[1], b[1]]), return_counts=True)
-    size = min(KEPT, len(both))
-    return float((counts[:size] == 2).sum() / size) if size else 0.0
+def first_places(windows: np.ndarray, values: np.ndarray) -> dict[int, int]:
+    """Where each of some window hashes stands first."""
+    at = np.flatnonzero(np.isin(windows, values))
+    return {int(windows[i]): int(i) for i in at[::-1]}
 
 
 class Fingerprinted:
@@ -142,29 +170,54 @@ class Fingerprinted:
         self.windows = self.hashes.windows()
         self.sketch = sketch(self.hashes, self.windows)
 
+    def likeness(self, other: Fingerprinted) -> float:
+        """From 0 to 1: the share of both texts that longest common extensions of shared places cover."""
+        if self.sketch[0] == other.sketch[0]:
+            return 1.0
+        a, b = self.hashes, other.hashes
+        whole = min(a.n, b.n)
+        runs = [(0, 0, first)] if (first := a.extension(0, 0, b)) >= min(SPAN, whole) > 0 else []
+        shared = np.intersect1d(self.sketch[1], other.sketch[1])
+        if len(shared) and len(self.windows) and len(other.windows):
+            there = first_places(other.windows, shared)
+            for value, i in sorted(first_places(self.windows, shared).items(), key=lambda x: x[1]):
+                j = there[value]
+                if any(x <= i < x + n and i - x == j - y for x, y, n in runs):
+                    continue
+                back = a.extension_back(i, j, b)
+                runs.append((i - back, j - back, back + a.extension(i, j, b)))
+        ours, theirs = (covered([(r[k], r[k] + r[2]) for r in runs]) for k in (0, 1))
+        return (ours + theirs) / (a.n + b.n)
+
     def row(self, following: Fingerprinted) -> tuple:
-        """The columns of ``edited_by_next``; unchanged spans keep their hashes."""
+        """The columns of ``edited_by_next``."""
         n = self.hashes.n
         taken = min(n // 3, following.hashes.n)
         stays = n - n // 3
         text = self.hashes.text[:stays] + following.hashes.text[:taken]
-        if stays + taken < SPAN:
-            hashes = PrefixHashes(text)
-            edited = sketch(hashes, hashes.windows())
-        else:
-            seam = PrefixHashes(text[max(0, stays - SPAN + 1) : stays + SPAN - 1])
-            parts = [self.windows[: max(0, stays - SPAN + 1)], seam.windows(), following.windows[: max(0, taken - SPAN + 1)]]
-            edited = self.joined(following, stays, taken), kept(np.concatenate(parts))
+        edited = self.edited(following, stays, taken, text)
         sha = hashlib.sha256(text.encode()).hexdigest()
-        return self.doc_id, n, sha, written(*self.sketch), written(*edited), likeness(self.sketch, edited), likeness(self.sketch, following.sketch)
+        return self.doc_id, n, sha, written(*self.sketch), written(*edited.sketch), self.likeness(edited), self.likeness(following)
 
-    def joined(self, following: Fingerprinted, stays: int, taken: int) -> int:
-        """The hash of the edited text, from prefixes of both."""
-        both = []
-        for powers, a, b in zip(POWERS, self.hashes.sums, following.hashes.sums, strict=True):
-            both.append((int(a[stays]) + int(b[taken]) * pow(powers.base, stays, powers.prime)) % powers.prime)
-        size = np.array([stays + taken], dtype=U64)
-        return int(mix64(np.array([both[0] << 32 | both[1]], dtype=U64) + size * U64(0x9E3779B97F4A7C15))[0])
+    def edited(self, following: Fingerprinted, stays: int, taken: int, text: str) -> Fingerprinted:
+        """The edited text; what it has of either text keeps its hashes."""
+        if stays + taken < SPAN:
+            return Fingerprinted(self.doc_id, text)
+        out = object.__new__(Fingerprinted)
+        out.doc_id, out.hashes = self.doc_id, self.hashes.followed(following.hashes, stays, taken, text)
+        seam = PrefixHashes(text[max(0, stays - SPAN + 1) : stays + SPAN - 1])
+        out.windows = np.concatenate([self.windows[: max(0, stays - SPAN + 1)], seam.windows(), following.windows[: max(0, taken - SPAN + 1)]])
+        out.sketch = out.hashes.span(0, out.hashes.n), kept(out.windows)
+        return out
+
+
+def covered(spans: list[tuple[int, int]]) -> int:
+    """How many places some spans cover together."""
+    total = end = 0
+    for first, last in sorted(spans):
+        total += max(0, last - max(first, end))
+        end = max(end, last)
+    return total
 
 
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"

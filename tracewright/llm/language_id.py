@@ -8,12 +8,12 @@ of fixed length of each whole text, in batches; the windows' probabilities are
 averaged by their lengths.
 
 A text that is null or has no letter is ``und`` with score 0, as is every text when
-there was no labelled text to learn from.  Repeated rows get equal answers.
+there was no labelled text to learn from.  Repeated rows get equal answers, an empty
+table an empty result.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -26,7 +26,6 @@ from pyspark.sql import types as T
 from tracewright.llm.common import give_back, modest_batches
 
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
@@ -116,7 +115,7 @@ class ByteConvNet:
             owners.clear(), rows.clear(), sizes.clear()
 
         for i, t in enumerate(texts):
-            if not self.labels or t is None or not LETTER.search(t):
+            if not self.labels or t is None or not has_letter(t):
                 continue
             codes, lengths = windows(t)
             owners += [i] * len(codes)
@@ -135,6 +134,11 @@ class ByteConvNet:
         return names, scores
 
 
+def has_letter(text: str) -> bool:
+    """Whether a text has a letter; digits, fractions and number signs are none."""
+    return any(map(str.isalpha, text))
+
+
 def windows(text: str) -> tuple[np.ndarray, list[int]]:
     """All consecutive windows of a text's bytes as codes, the last filled up with 0, and their lengths."""
     data = np.frombuffer(text.encode(), dtype=np.uint8)
@@ -145,22 +149,29 @@ def windows(text: str) -> tuple[np.ndarray, list[int]]:
     return codes.reshape(n, WINDOW), [WINDOW] * (n - 1) + [len(data) - (n - 1) * WINDOW]
 
 
-def fit(texts: Sequence[str], labels: Sequence[str], windows_each: int = 6, epochs: int = 5, seed: int = 7) -> ByteConvNet:
-    """Trains on windows at random places of labelled texts, some of them short."""
-    if not texts:
+def pieces_of(text: str, windows_each: int, seed: int) -> list[bytes]:
+    """Windows at random places of a text, some of them short."""
+    rng = np.random.default_rng(seed)
+    data, out = text.encode(), []
+    for _ in range(min(windows_each, 1 + len(data) // WINDOW)):
+        size = WINDOW if rng.random() < 0.6 else int(rng.integers(8, WINDOW))
+        at = int(rng.integers(0, max(1, len(data) - size + 1)))
+        out.append(data[at : at + size])
+    return out
+
+
+def fit(pieces: Sequence[Sequence[bytes]], labels: Sequence[str], epochs: int = 5, seed: int = 7) -> ByteConvNet:
+    """Trains on windows of labelled texts."""
+    if not pieces:
         return ByteConvNet()
     rng = np.random.default_rng(seed)
     names = sorted(set(labels))
     net = ByteConvNet.fresh(names, seed)
     codes, gold = [], []
-    for t, label in zip(texts, labels, strict=True):
-        data = t.encode()
-        for _ in range(min(windows_each, 1 + len(data) // WINDOW)):
-            size = WINDOW if rng.random() < 0.6 else int(rng.integers(8, WINDOW))
-            at = int(rng.integers(0, max(1, len(data) - size + 1)))
-            piece = np.frombuffer(data[at : at + size], dtype=np.uint8)
+    for own, label in zip(pieces, labels, strict=True):
+        for piece in own:
             row = np.zeros(WINDOW, dtype=np.int16)
-            row[: len(piece)] = piece
+            row[: len(piece)] = np.frombuffer(piece, dtype=np.uint8)
             row[: len(piece)] += 1
             codes.append(row)
             gold.append(names.index(label))
@@ -183,14 +194,24 @@ def fit(texts: Sequence[str], labels: Sequence[str], windows_each: int = 6, epoc
     return net
 
 
-def sample(df: DataFrame, key: str, text: str, label: str, max_documents: int) -> tuple[list[str], list[str]]:
-    """At most max_documents texts with a letter and their labels, chosen by a hash of the key."""
-    usable = df.where(F.col(label).isNotNull() & F.col(text).rlike(r"\p{L}"))
-    there = df.where(F.col(label).isNotNull()).count()
-    share = min(1.0, 1.5 * max_documents / max(1, there))
+def sample(df: DataFrame, key: str, text: str, label: str, max_documents: int, windows_each: int) -> tuple[list[list[bytes]], list[str]]:
+    """Windows and labels of at most max_documents texts with a letter, chosen by a hash of the key.
+
+    Windows are cut where the texts are; at most windows_each of WINDOW bytes of a text come to the driver.
+    """
+    labelled = df.where(F.col(label).isNotNull())
+    share = min(1.0, 1.5 * max_documents / max(1, labelled.count()))
     place = F.pmod(F.xxhash64(F.col(key), F.lit(11)), F.lit(HASH_STEPS))
-    rows = usable.where(place < int(share * HASH_STEPS)).select(place.alias("place"), key, text, label).orderBy("place", key, text, label).limit(max_documents).collect()
-    return [r[text] for r in rows], [r[label] for r in rows]
+
+    @F.arrow_udf("array<binary>")
+    def cut(texts: pa.Array, places: pa.Array) -> pa.Array:
+        found = [pieces_of(t, windows_each, i) if t is not None and has_letter(t) else None for t, i in zip(texts.to_pylist(), places.to_pylist(), strict=True)]
+        return pa.array(found, pa.list_(pa.binary()))
+
+    chosen = labelled.where(place < int(share * HASH_STEPS)).select(place.alias("place"), key, text, label)
+    cuts = chosen.select("place", key, cut(F.col(text), F.col("place")).alias("pieces"), F.col(label).alias("label")).where("pieces IS NOT NULL")
+    rows = cuts.orderBy("place", key, "label", "pieces").limit(max_documents).collect()
+    return [[bytes(p) for p in r["pieces"]] for r in rows], [r["label"] for r in rows]
 
 
 def predict(df: DataFrame, net: ByteConvNet, text: str = "text") -> DataFrame:
@@ -209,8 +230,10 @@ def predict(df: DataFrame, net: ByteConvNet, text: str = "text") -> DataFrame:
         return pa.StructArray.from_arrays([pa.array(labels, pa.string()), pa.array(scores, pa.float64())], names=["lang_pred", "score"])
 
     # the texts alone go to Python, and nothing but answers comes back
-    judged = df.drop("lang_pred", "score").withColumn("__judged", judge(F.col(text)))
-    return judged.select("*", "__judged.lang_pred", "__judged.score").drop("__judged")
+    own = [c for c in df.columns if c not in ("lang_pred", "score")]
+    mark = "judged_" + "_" * max(map(len, own))  # longer than any name there
+    judged = df.select(*own, judge(F.col(text)).alias(mark))
+    return judged.select(*own, f"{mark}.lang_pred", f"{mark}.score")
 
 
 def held_out(key: str = "doc_id"):
@@ -218,7 +241,7 @@ def held_out(key: str = "doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
-def trained(docs: DataFrame, max_documents: int = 3000) -> ByteConvNet:
+def trained(docs: DataFrame, max_documents: int = 3000, windows_each: int = 6) -> ByteConvNet:
     """The network that learns from the rows of documents that aren't held out."""
     learned = docs.where(~held_out() & F.col("doc_id").isNotNull()).select("doc_id", "text", "lang")
-    return fit(*sample(learned, "doc_id", "text", "lang", max_documents))
+    return fit(*sample(learned, "doc_id", "text", "lang", max_documents, windows_each))

@@ -7,8 +7,9 @@ takes the longest run of tokens that forms an expression of ``and``, ``or``, ``w
 parentheses and puts it in postfix order, from which ``licenses`` lists the licenses named
 and ``satisfied`` tells whether given licenses meet it.
 
-Null text counts as empty: no words, no labels, score 0.  Texts without any word, and
-repeated rows, need no special care.
+Null text counts as empty: no words, no labels, score 0.  An empty table has an empty result;
+texts without any word, very long ones and repeated rows need no special care.  Of the
+columns, the key and the text alone are looked at.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tracewright.llm.common import modest_batches
+
 BASE_PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 NOTICE_PHRASES = {
     "mit license": "mit",
@@ -43,8 +46,11 @@ NOTICE_PHRASES = {
     "all rights reserved": "proprietary",
     "released into the public domain": "public-domain",
 }
-IDENTIFIERS = {"mit": "mit", "apache-2.0": "apache-2", "cc-by-nc-4.0": "cc-by-nc", "gpl-3.0": "gpl-3", "gpl-3.0-only": "gpl-3", "gpl-3.0-or-later": "gpl-3", "gpl-2.0": "gpl-2", "gpl-2.0-only": "gpl-2", "gpl-2.0-or-later": "gpl-2", "cc-by-4.0": "cc-by", "cc-by-sa-4.0": "cc-by-sa", "cc0-1.0": "cc0", "mpl-2.0": "mpl"}
-KNOWN = frozenset(IDENTIFIERS.values())
+#: Identifiers whose labels are a family's; all others are their own label, in lower case.
+FAMILIES = {"mit": "mit", "apache-2.0": "apache-2", "cc-by-nc": "cc-by-nc", "cc-by-sa": "cc-by-sa", "cc-by-nd": "cc-by-nd", "cc-by": "cc-by", "cc0": "cc0", "gpl-3.0": "gpl-3", "gpl-2.0": "gpl-2", "lgpl": "lgpl", "agpl": "agpl", "mpl": "mpl"}
+LICENSE_NAME = re.compile(r"(?=.*[A-Z0-9])[A-Za-z0-9][A-Za-z0-9.+:-]*")
+#: Labels of licenses that ask no more than notice; an expression that these alone can meet is open.
+OPEN = frozenset({"mit", "apache-2", "cc-by", "cc0", "bsd", "bsd-2-clause", "bsd-3-clause", "isc", "zlib", "unlicense", "public-domain"})
 TAG_WORDS = "spdx license identifier"
 TAG = re.compile(r"spdx-license-identifier:[ \t]*([^\r\n]*)", re.I)
 TOKEN = re.compile(r"\s*([()]|[A-Za-z0-9][A-Za-z0-9.+:-]*)")
@@ -65,7 +71,7 @@ def parse(text: str) -> list[str] | None:
             depth -= token == ")"
             wants_operand = token != ")"
         else:
-            if not wants_operand:
+            if not wants_operand or token != "(" and not LICENSE_NAME.fullmatch(token) and word not in FAMILIES:
                 break
             depth += token == "("
             wants_operand = token == "("
@@ -113,8 +119,14 @@ def postfix(tokens: list[str]) -> list[str] | None:
 
 
 def label_of(identifier: str) -> str:
-    name = identifier.lower()
-    return IDENTIFIERS.get(name.rstrip("+"), name)
+    """The family of an identifier by its longest beginning at a version or hyphen, else itself."""
+    name = identifier.lower().rstrip("+")
+    at = name
+    while at:
+        if at in FAMILIES:
+            return FAMILIES[at]
+        at = at.rpartition("-")[0]
+    return name
 
 
 class Name(str):
@@ -177,18 +189,31 @@ def places(text: str, phrases: tuple[str, ...]) -> tuple[int, list[tuple[str, in
     return len(words), found
 
 
-def scan_text(text: str | None, base: dict[str, str], notices: dict[str, str]) -> tuple:
-    """n_words, n_base, first_word, last_word, base_labels, labels, score, expressions of a whole text.
+def longest(found: list[tuple[str, int]]) -> list[tuple[str, int]]:
+    """Places of phrases that lie in no longer phrase's place."""
+    spans = sorted({(i, i + len(p.split()), p) for p, i in found}, key=lambda x: (x[0], -x[1]))
+    kept, end = [], -1
+    for first, last, p in spans:
+        if last > end:
+            kept.append((p, first))
+            end = last
+    return kept
+
+
+def scan_text(text: str | None, base: dict[str, str], notices: dict[str, str], open_labels: frozenset[str] = OPEN) -> tuple:
+    """n_words, n_base, first_word, last_word, base_labels, labels, score, open_terms, expressions of a whole text.
 
     score: 1 with a base phrase or a whole tag, 0.8 with a notice alone, 0.5 with a tag that can't be read alone, else 0.
+    open_terms: whether open licenses alone meet every tag's expression; null without a tag that can be read.
+    A notice within a longer phrase is not told by itself.
     """
     text = text or ""
     n_words, found = places(text, tuple(sorted({*base, *notices, TAG_WORDS})))
     own = [(p, i) for p, i in found if p in base]
     base_labels = {base[p] for p, _ in own}
-    labels = base_labels | {notices[p] for p, _ in found if p in notices}
+    labels = base_labels | {notices[p] for p, _ in longest(found) if p in notices}
     score = 1.0 if own else 0.8 if labels else 0.0
-    expressions = []
+    expressions, open_terms = [], None
     if any(p == TAG_WORDS for p, _ in found):
         for m in TAG.finditer(text):
             expression = parse(m[1])
@@ -196,19 +221,21 @@ def scan_text(text: str | None, base: dict[str, str], notices: dict[str, str]) -
                 score = max(score, 0.5)
                 continue
             score = 1.0
-            labels |= licenses(expression) & KNOWN
+            labels |= licenses(expression)
+            open_terms = satisfied(expression, open_labels) and open_terms is not False
             expressions.append(" ".join(expression))
     starts = [i for _, i in own]
-    return n_words, len(own), min(starts, default=None), max(starts, default=None), sorted(base_labels), sorted(labels), score, expressions
+    return n_words, len(own), min(starts, default=None), max(starts, default=None), sorted(base_labels), sorted(labels), score, open_terms, expressions
 
 
 def scan(df: DataFrame, base: dict[str, str] | None = None, notices: dict[str, str] | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The findings of each whole text, one row for each row: key, counts, places, label lists, score and the tags' expressions in postfix order."""
+    """The findings of each whole text, one row for each row: key, counts, places, label lists, score, whether the terms are open, and the tags' expressions in postfix order."""
+    modest_batches(df.sparkSession)
     base = BASE_PHRASES if base is None else base
     notices = NOTICE_PHRASES if notices is None else notices
     strings = pa.list_(pa.string())
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), strings, strings, pa.float64(), strings]
-    names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "expressions"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), strings, strings, pa.float64(), pa.bool_(), strings]
+    names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "open_terms", "expressions"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,4 +244,4 @@ def scan(df: DataFrame, base: dict[str, str] | None = None, notices: dict[str, s
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[key, *names])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, text).mapInArrow(run, f"{key} {kind}, n_words long, n_base long, first_word long, last_word long, base_labels array<string>, labels array<string>, score double, expressions array<string>")
+    return df.select(key, text).mapInArrow(run, f"{key} {kind}, n_words long, n_base long, first_word long, last_word long, base_labels array<string>, labels array<string>, score double, open_terms boolean, expressions array<string>")

@@ -1,23 +1,26 @@
-"""URL rules and lists behind a Bloom filter cascade.
+"""URL rules and lists behind Bloom filter cascades.
 
 The keys of a URL are its host and each parent domain, alone and followed by the
-path's prefixes of the lengths that occur in rules.  The first filter of a cascade
-encodes the listed keys, the second the keys of the corpus that the first lets through
-wrongly, the third the listed keys that the second lets through, and so on until none
-are left.  Over the corpus's complete key universe the answers are then exact, without
-a join.  One pass over the URLs finds the first level's false positives: its error rate
-is set so that about as many are expected as there are listed keys; later levels are
-made of those two sets alone.  Only the filters, a few dozen bits for each listed key,
-travel to the executors.
-
-Null URLs and URLs without ``://`` have an empty host and path, and no key.
+path's prefixes of the lengths that occur in rules.  There is a cascade for each list:
+rules that allow, rules that block, blocked hosts.  Its first filter encodes the listed
+keys, the second the keys of the corpus that the first lets through wrongly, the third
+the listed keys that the second lets through, and so on until none are left.  Over the
+corpus's complete key universe the answers are then exact, without a join, and a rule is
+the key that its cascade holds.  One pass over the URLs counts the keys, roughly, and sets
+the first filters' error rates so that about as many wrong keys as listed ones come
+through; a second pass finds these, and later levels are made of the two sets alone.  Only
+the filters, a few dozen bits for each listed key, travel to the executors.
+
+Null URLs and URLs without ``://`` have an empty host and path, and no key.  Repeated rows
+get equal answers; an empty table has an empty result; long URLs have as many keys as their
+hosts have labels, times the prefix lengths.  Other columns are not looked at.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Mapping
 from dataclasses import dataclass
 
 import numpy as np
@@ -104,21 +107,26 @@ def keys_of(host: str, path: str, lengths: tuple[int, ...]) -> Iterator[str]:
         host = host.partition(".")[2]
 
 
-def build(urls: DataFrame, listed: Iterable[str], lengths: tuple[int, ...], url: str = "url", most_keys: int = 64) -> Cascade:
-    """A cascade over all keys of a table of URLs.  most_keys: how many a URL has, for the first level's error rate."""
-    listed = frozenset(listed)
-    if not listed:
-        return Cascade([])
-    rate = min(0.01, len(listed) / max(1, urls.count() * most_keys))
-    first = Bloom(listed, len(listed), rate, seed=0)
+def build(urls: DataFrame, lists: Mapping[str, Iterable[str]], lengths: tuple[int, ...], url: str = "url") -> dict[str, Cascade]:
+    """A cascade for each list, exact over all keys of a table of URLs."""
+    lists = {name: frozenset(keys) for name, keys in lists.items()}
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = {k for u in batch.column(0).to_pylist() for k in keys_of(*split_url(u), lengths)}
+            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_64_intdigest(k) >> 1 for k in found], pa.int64())], names=["key"])
+
+    n = urls.select(F.col(url)).mapInArrow(keys, "key long").select(F.approx_count_distinct("key")).first()[0]
+    first = {name: Bloom(own, len(own), min(LATER_RATE, max(len(own), 1) / max(1, n)), seed=0) if own else None for name, own in lists.items()}
 
     def wrong(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = {k for u in batch.column(0).to_pylist() for k in keys_of(*split_url(u), lengths) if k in first and k not in listed}
-            yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], names=["key"])
+            found = {(name, k) for u in batch.column(0).to_pylist() for k in keys_of(*split_url(u), lengths) for name, f in first.items() if f is not None and k in f and k not in lists[name]}
+            rows = sorted(found)
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], pa.string()) for i in (0, 1)], names=["list", "key"])
 
-    found = urls.select(F.col(url)).mapInArrow(wrong, "key string").distinct().collect()  # as many as there are listed keys, by the rate
-    return Cascade.grown(first, listed, [r.key for r in found])
+    found = urls.select(F.col(url)).mapInArrow(wrong, "list string, key string").distinct().collect()  # about as many as there are listed keys, by the rate
+    return {name: Cascade([]) if f is None else Cascade.grown(f, lists[name], [r["key"] for r in found if r["list"] == name]) for name, f in first.items()}
 
 
 def judge(pages: DataFrame, rules: Iterable[Rule], blocked_hosts: Iterable[str], page_id: str = "page_id", url: str = "url") -> DataFrame:
@@ -128,20 +136,26 @@ def judge(pages: DataFrame, rules: Iterable[Rule], blocked_hosts: Iterable[str],
     ``blocked_hosts``, or below one that is, is blocked and all else allowed;
     ``listed`` is that host, else null.
     """
-    verdicts = {r.key: r.verdict for r in rules}
-    hosts = frozenset(blocked_hosts)
-    lengths = tuple(sorted({len(k) - len(k.partition("/")[0]) for k in verdicts} | {0}, reverse=True))
-    cascade = build(pages, [*verdicts, *hosts], lengths, url)
+    rules = list(rules)
+    lengths = tuple(sorted({len(r.path) for r in rules} | {0}, reverse=True))
+    lists = {verdict: [r.key for r in rules if r.verdict == verdict] for verdict in ("allow", "block")}
+    cascades = build(pages, {**lists, "hosts": blocked_hosts}, lengths, url)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [])
             for u in batch.column(1).to_pylist():
                 host, path = split_url(u)
-                hits = [k for k in keys_of(host, path, lengths) if k in cascade]
-                rule = max((k for k in hits if k in verdicts), key=len, default=None)
-                listed = next((k for k in hits if k in hosts), None)
-                verdict = verdicts[rule] if rule is not None else "allow" if listed is None else "block"
+                rule, verdict, listed = None, None, None
+                for k in keys_of(host, path, lengths):
+                    if rule is None or len(k) > len(rule):
+                        own = next((v for v in lists if k in cascades[v]), None)
+                        if own is not None:
+                            rule, verdict = k, own
+                    if listed is None and k in cascades["hosts"]:
+                        listed = k
+                if verdict is None:
+                    verdict = "allow" if listed is None else "block"
                 for column, value in zip(out, (host, path, rule, verdict, listed), strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.string()) for c in out)], names=["page_id", "host", "path", "rule", "verdict", "listed"])
