@@ -8,18 +8,20 @@
    smallest values of the union is in both sets with a chance of ``percent`` or more, and
    where it is, both retain it.  Smaller sets are retained whole; ``least_met`` counts what
    must then be common.  A node of whose retained values fewer are in others goes at once.
-3. Inverted lists of retained values generate the pairs.  In any order of all values, a
-   linked pair meets in the first ``kept - needed + 1`` values of both, and at its first common
-   value both must have enough values left.  The order of the hashes comes first; a list
-   of up to ``SHORT`` nodes is compared pair by pair.  Nodes in longer lists meet again among
-   themselves in the order from the rarest value, in which edited copies part early.  In
-   lists that are long even so, all are compared with the node that has fewest rare values;
-   after that, only nodes outside its component are compared with the rest of the list.
-   So a group of near copies costs about a comparison for each member, and no list is cut.
+3. The nodes left take part with their whole sets (see the README for the figures of pairs made
+   from retained values alone).  Sets are made anew from the texts of documents that pass a
+   Bloom filter of the nodes left, which has at most ``MOST_BITS`` bits; texts are not shuffled.
+   In any order of all values, a linked pair must meet in the first ``n - ceil(0.85 n) + 1``
+   values of both, and at its first common value no more values may lie before than the two
+   may differ in.  The order of the hashes comes first; a list of up to ``SHORT`` nodes is
+   compared pair by pair.  Nodes in longer lists meet again among themselves in the order
+   from the rarest value, in which edited copies part early.  In lists that are long even so,
+   all are compared with the node that has fewest rare values; after that, only nodes
+   outside its component are compared with the rest of the list.  So a group of near copies
+   costs about a comparison for each member, and no list is cut.
 4. The union sketch of a pair, the KEPT smallest values of both sketches together, estimates
    its likeness; pairs that can't reach the threshold end there, all others are confirmed
-   on their whole sets.  These are made anew from the texts of documents that pass a Bloom
-   filter of the nodes left, which has at most ``MOST_BITS`` bits; texts are not shuffled.
+   on their whole sets.
 5. Components are found by passing on the smallest label and following labels' labels.
 
 Null, empty and wordless texts have empty sets and are linked with nothing, each on its
@@ -82,6 +84,11 @@ def sketched(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(lean(run), "doc_id long, mark long, n long, h1 long, h2 long, sketch array<long>")
 
 
+def must_share(n, percent: int):
+    """The smallest intersection that a set of n can be linked with: ceil(n * percent / 100)."""
+    return F.expr(f"({n} * {percent} + 99) div 100")
+
+
 def least_met(n: int, percent: int) -> int:
     """The least number of values of a set of n <= KEPT that a linked set retains, by all sizes m of that set: beyond KEPT its largest are not retained."""
     met = []
@@ -165,31 +172,28 @@ def lists(parts: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)))
 
 
-OWN = ["nid", "n", "k", "t"]
-
-
-def keys_of(sketches: DataFrame) -> DataFrame:
-    """v, nid, n, k, t, place: the rare values by which a node can meet a linked one, and their places in its order."""
-    values = sketches.select(*OWN, F.explode("s").alias("v"))
+def keys_of(sets: DataFrame, percent: int) -> DataFrame:
+    """v, nid, n, place: the rare values by which a node can meet a linked one, and their places in its order."""
+    values = sets.select("nid", "n", F.explode("s").alias("v"))
     shared = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
-    ordered = values.join(shared, "v").groupBy(*OWN).agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("o"))
-    lone = F.col("k") - F.size("o")
-    length = F.col("k") - F.col("t") + 1 - lone
-    cut = ordered.where(length > 0).select(*OWN, lone.alias("lone"), F.slice("o", F.lit(1), length.cast("int")).alias("o"))
-    return cut.select(*OWN, "lone", F.posexplode("o").alias("at", "x")).select(F.col("x.v").alias("v"), *OWN, (F.col("lone") + F.col("at")).alias("place"))
+    ordered = values.join(shared, "v").groupBy("nid").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "v"))).alias("o"))
+    lone = F.col("n") - F.size("o")
+    length = F.col("n") - must_share("n", percent) + 1 - lone
+    cut = ordered.where(length > 0).select("nid", "n", lone.alias("lone"), F.slice("o", F.lit(1), length.cast("int")).alias("o"))
+    return cut.select("nid", "n", "lone", F.posexplode("o").alias("at", "x")).select(F.col("x.v").alias("v"), "nid", "n", (F.col("lone") + F.col("at")).alias("place"))
 
 
-def prefixes(sketches: DataFrame) -> DataFrame:
-    """v, nid, n, k, t, place: the smallest values, by one of which a node must meet a linked one."""
-    length = F.col("k") - F.col("t") + 1
-    return sketches.select(*OWN, F.posexplode(F.slice("s", F.lit(1), length.cast("int"))).alias("place", "v")).select("v", *OWN, F.col("place").cast("long").alias("place"))
+def prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """v, nid, n, place: the smallest values, by one of which a node must meet a linked one."""
+    length = F.col("n") - must_share("n", percent) + 1
+    return sets.select("nid", "n", F.posexplode(F.slice("s", F.lit(1), length.cast("int"))).alias("place", "v")).select("v", "nid", "n", F.col("place").cast("long").alias("place"))
 
 
 def in_lists(keys: DataFrame) -> DataFrame:
-    """v, nid, n, k, t, place, and of the value's list its length m and its head, for values that several nodes have."""
+    """v, nid, n, place, and of the value's list its length m and its head, for values that several nodes have."""
     keys = materialize(keys)
     heads = keys.groupBy("v").agg(F.count("*").alias("m"), F.min(F.struct("place", "n", "nid")).alias("head")).where("m > 1")
-    lists = materialize(keys.join(heads, "v").select("v", *OWN, "place", "m", F.col("head.nid").alias("head")))
+    lists = materialize(keys.join(heads, "v").select("v", "nid", "n", "place", "m", F.col("head.nid").alias("head")))
     discard(keys)
     return lists
 
@@ -204,20 +208,22 @@ def short_pairs(lists: DataFrame, percent: int) -> DataFrame:
 def may_link(a: str, b: str, percent: int):
     """By sizes, and by the places of the first common value."""
     sizes = F.expr(f"100 * least({a}n, {b}n) >= {percent} * greatest({a}n, {b}n)")
-    left = F.expr(f"least({a}k - {a}place, {b}k - {b}place)")
-    return sizes & (left >= F.expr(f"greatest({a}t, {b}t)"))
+    left = F.expr(f"least({a}n - {a}place, {b}n - {b}place)")
+    needed = F.expr(f"({percent} * ({a}n + {b}n) + {99 + percent}) div {100 + percent}")
+    return sizes & (left >= needed)
 
 
-def confirmed(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs a, b that are linked, by the estimate of their union sketch and then on whole sets."""
-    def side(table: DataFrame, name: str) -> DataFrame:
-        return table.select(F.col("nid").alias(name), F.col("n").alias(f"n{name}"), F.col("s").alias(f"s{name}"))
+    def side(name: str, values) -> DataFrame:
+        return sets.select(F.col("nid").alias(name), F.col("n").alias(f"n{name}"), values.alias(f"s{name}"))
 
-    met = pairs.join(side(sketches, "a"), "a").join(side(sketches, "b"), "b")
+    few = F.slice("s", 1, KEPT)
+    met = pairs.join(side("a", few), "a").join(side("b", few), "b")
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, KEPT)
     both_kept = F.size(F.array_intersect(union, F.array_intersect("sa", "sb")))
     hopeful = met.where((F.least("na", "nb") <= KEPT) | (both_kept >= least_shared(percent))).select("a", "b")
-    whole = hopeful.join(side(sets, "a"), "a").join(side(sets, "b"), "b")
+    whole = hopeful.join(side("a", F.col("s")), "a").join(side("b", F.col("s")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return whole.where(100 * common >= percent * (F.col("na") + F.col("nb") - common)).select("a", "b")
 
@@ -252,19 +258,19 @@ def judged(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     retained = nodes.select("nid", F.explode("sketch").alias("v"))
     shared = retained.groupBy("v").agg(F.count("*").alias("df")).where("df > 1").select("v")
     met = retained.join(shared, "v").groupBy("nid").agg(F.count("*").alias("met"))
-    hopeful = nodes.join(met, "nid").withColumn("t", needed(percent).cast("long")).where("met >= t")
-    hopeful = materialize(hopeful.select("nid", "n", F.least("n", F.lit(KEPT)).alias("k"), "t", F.col("sketch").alias("s"), "h1", "h2", "rep"))
-    sketches = hopeful.select(*OWN, "s")
-    sets = whole_sets(docs, hopeful.select("nid", "h1", "h2", "rep"))
+    hopeful = nodes.join(met, "nid").where(F.col("met") >= needed(percent)).select("nid", "h1", "h2", "rep")
+    hopeful = materialize(hopeful)
+    sets = whole_sets(docs, hopeful)
+    discard(hopeful)
 
-    lists = in_lists(prefixes(sketches))
+    lists = in_lists(prefixes(sets, percent))
     pairs = short_pairs(lists, percent)
     hot = materialize(lists.where(F.col("m") > SHORT).select("nid").distinct())
-    hot_lists = in_lists(keys_of(sketches.join(hot, "nid", "left_semi")))
+    hot_lists = in_lists(keys_of(sets.join(hot, "nid", "left_semi"), percent))
     long_lists = hot_lists.where(F.col("m") > SHORT)
     pairs = pairs.union(short_pairs(hot_lists, percent))
     with_head = long_lists.where(F.col("nid") != F.col("head")).select(F.least("nid", "head").alias("a"), F.greatest("nid", "head").alias("b"))
-    links = materialize(confirmed(pairs.union(with_head).distinct(), sketches, sets, percent))
+    links = materialize(confirmed(pairs.union(with_head).distinct(), sets, percent))
     labels = components(links)
 
     labelled = long_lists.join(labels, "nid", "left").withColumn("label", F.coalesce("label", "nid"))
@@ -272,7 +278,7 @@ def judged(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     x, y = named.where("out").alias("x"), named.alias("y")
     apart = (F.col("x.v") == F.col("y.v")) & (F.col("x.label") != F.col("y.label")) & (~F.col("y.out") | (F.col("x.nid") < F.col("y.nid"))) & may_link("x.", "y.", percent)
     rest = x.join(y, apart).select(F.least("x.nid", "y.nid").alias("a"), F.greatest("x.nid", "y.nid").alias("b")).distinct()
-    more = materialize(confirmed(rest, sketches, sets, percent))
+    more = materialize(confirmed(rest, sets, percent))
     if more.limit(1).count():
         labels = components(links.union(more))
 
