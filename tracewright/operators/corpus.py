@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tracewright.functions import text as T
 from tracewright.operators import periods
 from tracewright.plans import conditions
 from tracewright.plans.config import Config
@@ -18,6 +20,10 @@ EDGE = "src string, dst string, type string, origin string, attrs map<string,str
 FINDING = "severity string, rule string, id string, detail string, path string, line int, related array<string>, suppressed boolean"
 
 
+def named_in(names: Column) -> Callable[[Column, Column], Column]:
+    return lambda k, v: F.array_contains(names, k)
+
+
 @dataclass(frozen=True)
 class Corpus:
     """nodes (one for each id), edges (unique by src, dst, type), reference edges, retractions and findings of the build."""
@@ -43,6 +49,19 @@ class Corpus:
         """nodes with their periods and in_force on the day asked for."""
         return periods.with_periods(self.nodes, self.edges, self.cfg, self.as_of)
 
+    @property
+    def recorded(self) -> DataFrame:
+        """edges with those of their attributes that are declared and of a value that is taken."""
+        kept = F.create_map().cast("map<string,string>")
+        attrs = F.coalesce("attrs", kept)
+        column = kept
+        for e in self.cfg.edges:
+            fits = [(F.lit(n), T.accepts(F.try_element_at(attrs, F.lit(n)), a.type, a.one_of)) for n, a in e.attrs]
+            if fits:
+                names = F.array_compact(F.array(*(F.when(ok, n) for n, ok in fits)))
+                column = F.when(F.col("type") == e.name, F.map_filter(attrs, named_in(names))).otherwise(column)
+        return self.edges.withColumn("attrs", column)
+
     def declared_by(self, edges: DataFrame) -> DataFrame:
         """edges with owner, the document that declares each: the source, or the target of reversed edges."""
         reverse = [e.name for e in self.cfg.edges if e.direction == "reverse"]

@@ -22,34 +22,49 @@ def steps(edges: DataFrame, types: list[str] | None = None, reverse: bool = Fals
 
 
 def reachable(pairs: DataFrame, starts: DataFrame, depth: int | None = None) -> DataFrame:
-    """start, id, depth: what each start (column id) reaches by its shortest way, itself left out."""
+    """start, id of what each start (column id) reaches, itself left out; with the shortest way's depth, if one is given as a bound.
+
+    Without a bound, steps double: a round joins what is reached so far with all ways of exactly as many steps as
+    the rounds before have covered, so a way of n steps takes about log n rounds.
+    """
     pairs = stored(pairs)
+    if depth is not None:
+        return within(pairs, starts, depth)
+    seen = stored(starts.select(F.col("id").alias("start"), "id").distinct())
+    jumps = pairs.select("src", "dst")
+    while True:
+        further = seen.join(jumps, F.col("id") == F.col("src")).select("start", F.col("dst").alias("id")).distinct()
+        fresh = stored(further.join(seen, ["start", "id"], "left_anti"))
+        if fresh.limit(1).count() == 0:
+            return seen.where("start <> id")
+        seen = stored(seen.unionByName(fresh))
+        wide = jumps.alias("a").join(jumps.alias("b"), F.col("a.dst") == F.col("b.src")).select(F.col("a.src").alias("src"), F.col("b.dst").alias("dst"))
+        jumps = stored(wide.distinct())
+
+
+def within(pairs: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
+    """start, id, depth: what each start reaches in at most ``depth`` steps, by its shortest way."""
     frontier = stored(starts.select(F.col("id").alias("start"), "id").distinct().withColumn("depth", F.lit(0)))
     seen = frontier
-    round_ = 0
-    while depth is None or round_ < depth:
-        round_ += 1
+    for step in range(1, depth + 1):
         further = frontier.join(pairs, F.col("id") == F.col("src")).select("start", F.col("dst").alias("id")).distinct()
-        frontier = stored(further.join(seen.select("start", "id"), ["start", "id"], "left_anti").withColumn("depth", F.lit(round_)))
-        if frontier.limit(1).count() == 0:
-            break
+        frontier = stored(further.join(seen.select("start", "id"), ["start", "id"], "left_anti").withColumn("depth", F.lit(step)))
         seen = seen.unionByName(frontier)
-        if round_ % 8 == 0:
-            seen = stored(seen)
     return seen.where("start <> id")
 
 
 def closure(pairs: DataFrame) -> DataFrame:
-    """src, dst of all pairs where one reaches the other, by squaring paths: as many rounds as the longest path has bits."""
+    """src, dst of all pairs where one reaches the other, by squaring: a round joins the newest ways with all, so
+    there are as many rounds as the longest path has bits, and no two old ways meet again."""
     paths = stored(pairs.select("src", "dst").distinct())
-    n = paths.count()
+    new = paths
     while True:
-        joined = paths.alias("a").join(paths.alias("b"), F.col("a.dst") == F.col("b.src")).select(F.col("a.src").alias("src"), F.col("b.dst").alias("dst"))
-        paths = stored(paths.union(joined).distinct())
-        more = paths.count()
-        if more == n:
+        ahead = new.alias("a").join(paths.alias("b"), F.col("a.dst") == F.col("b.src")).select(F.col("a.src").alias("src"), F.col("b.dst").alias("dst"))
+        behind = paths.alias("a").join(new.alias("b"), F.col("a.dst") == F.col("b.src")).select(F.col("a.src").alias("src"), F.col("b.dst").alias("dst"))
+        new = stored(ahead.union(behind).distinct().join(paths, ["src", "dst"], "left_anti"))
+        if new.limit(1).count() == 0:
             return paths
-        n = more
+        paths = stored(paths.union(new))
 
 
 def known(found: DataFrame, corpus: Corpus) -> DataFrame:
@@ -66,29 +81,98 @@ def ancestors(corpus: Corpus, starts: DataFrame, types: list[str] | None = None,
 
 
 def cyclic(pairs: DataFrame) -> DataFrame:
-    """Nodes on a cycle.  Nodes without a way in or out are trimmed first, so the closure is taken of the rest alone."""
-    rest = stored(pairs.select("src", "dst").distinct())
-    n = rest.count()
+    """Nodes on a cycle."""
+    return strong_components(pairs).select("id")
+
+
+def shrunk(rest: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What is left of edges without self-loops when nodes at loose ends go and chains get shorter; and the links taken out of chains.
+
+    A node with one way in (from p) and one way out (to s) is taken out if its hash is above those of p and s, so no
+    two neighbours go at once; an edge from p to s stands for it.
+    """
+    sides = rest.select(F.col("src").alias("id"), F.lit(None).cast("string").alias("p"), F.col("dst").alias("s")).union(rest.select("dst", "src", F.lit(None).cast("string")))
+    node = sides.groupBy("id").agg(F.count("p").alias("n_in"), F.count("s").alias("n_out"), F.min("p").alias("p"), F.min("s").alias("s"))
+    order = lambda c: F.xxhash64(F.col(c))
+    link = (F.col("n_in") == 1) & (F.col("n_out") == 1) & (order("id") > order("p")) & (order("id") > order("s"))
+    node = stored(node.select("id", "p", "s", ((F.col("n_in") > 0) & (F.col("n_out") > 0)).alias("live"), link.alias("link")))
+    links = node.where("link").select("id", "p", "s")
+    stays = node.where("live AND NOT link").select("id")
+    kept = rest.join(stays.withColumnRenamed("id", "src"), "src", "left_semi").join(stays.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst")
+    short = links.where("p <> s").select(F.col("p").alias("src"), F.col("s").alias("dst"))
+    return stored(kept.union(short).distinct()), links
+
+
+def core_components(rest: DataFrame) -> DataFrame:
+    """id, component of the components of more than one node, by colours: each node takes the smallest id that
+    reaches it; what reaches that id back within its colour is its component; the rest goes on without it."""
+    found: DataFrame | None = None
+    while rest.limit(1).count():
+        labels = stored(rest.select(F.col("src").alias("id")).union(rest.select("dst")).distinct().withColumn("label", F.col("id")))
+        while True:
+            told = rest.join(labels.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("label").alias("theirs"))
+            near = labels.join(told, "id", "left").select("id", F.least("label", F.coalesce("theirs", "label")).alias("label"), (F.col("theirs") < F.col("label")).alias("moved"))
+            near = stored(near)
+            moved = near.where("moved").limit(1).count()
+            labels = near.select("id", "label")
+            if not moved:
+                break
+        own = rest.join(labels.toDF("src", "a"), "src").join(labels.toDF("dst", "b"), "dst").where("a = b").select("src", "dst", F.col("a").alias("label"))
+        own = stored(own)
+        reached = frontier = stored(labels.where("id = label").select("id", "label"))
+        while True:
+            back = own.join(frontier.withColumnRenamed("id", "dst"), ["dst", "label"]).select(F.col("src").alias("id"), "label").distinct()
+            frontier = stored(back.join(reached, ["id", "label"], "left_anti"))
+            if frontier.limit(1).count() == 0:
+                break
+            reached = stored(reached.unionByName(frontier))
+        several = reached.groupBy("label").agg(F.count("*").alias("n")).where("n > 1")
+        members = reached.join(several, "label", "left_semi").select("id", F.col("label").alias("component"))
+        found = members if found is None else found.unionByName(members)
+        gone = reached.select("id")
+        rest = stored(own.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst"))
+        n = rest.count()
+        while n:  # loose ends that the components left behind
+            rest = stored(rest.join(rest.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(rest.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+            left = rest.count()
+            if left == n:
+                break
+            n = left
+    return found if found is not None else rest.select(F.col("src").alias("id"), F.col("dst").alias("component"))
+
+
+def strong_components(pairs: DataFrame) -> DataFrame:
+    """id, component (its smallest id) of the nodes on cycles.
+
+    Loose ends and chains go first, halving the longest chains every few rounds; components of what is left are
+    found by colours; links come back where both their neighbours are in one component.  Every round is linear in
+    the edges that are left.
+    """
+    every = stored(pairs.select("src", "dst").distinct())
+    loops = every.where("src = dst").select("src")
+    rest = stored(every.where("src <> dst"))
+    n, taken = rest.count(), []
     while n:
-        trimmed = rest.join(rest.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(rest.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
-        rest = stored(trimmed.select("src", "dst"))
+        rest, links = shrunk(rest)
+        taken.append(links)
         left = rest.count()
         if left == n:
             break
         n = left
-    return closure(rest).where("src = dst").select(F.col("src").alias("id"))
-
-
-def strong_components(pairs: DataFrame) -> DataFrame:
-    """id, component (its smallest id) of the nodes on cycles."""
-    on = cyclic(pairs)
-    inner = pairs.join(on.select(F.col("id").alias("src")), "src", "left_semi").join(on.select(F.col("id").alias("dst")), "dst", "left_semi")
-    both = closure(inner.select("src", "dst"))
-    mutual = both.join(both.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"], "left_semi")
-    return mutual.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("component"))
-
-
-def shortest_cycle(pairs: list[tuple[str, str]], start: str) -> list[str]:
+    found = stored(core_components(rest))
+    for links in reversed(taken):
+        # a link between p and p makes a component of p at least
+        alone = links.where("p = s").select(F.col("p").alias("id")).distinct().join(found.select("id"), "id", "left_anti")
+        found = found.unionByName(alone.select("id", F.col("id").alias("component")))
+        back = links.join(found.toDF("p", "a"), "p").join(found.toDF("s", "b"), "s").where("a = b").select("id", F.col("a").alias("component"))
+        found = stored(found.unionByName(back))
+    own = loops.select(F.col("src").alias("id")).join(found.select("id"), "id", "left_anti")
+    found = found.unionByName(own.select("id", F.col("id").alias("component")))
+    least = found.groupBy("component").agg(F.min("id").alias("least"))
+    return found.join(least, "component").select("id", F.col("least").alias("component"))
+
+
+def first_cycle(pairs: list[tuple[str, str]], start: str) -> list[str]:
     """A deterministic cycle of a small component: the first back edge of a walk from its smallest id by sorted neighbours closes it."""
     near: dict[str, list[str]] = {}
     for a, b in sorted(pairs):
@@ -117,7 +201,7 @@ def cycle_paths(pairs: DataFrame) -> DataFrame:
     b = members.select(F.col("id").alias("dst"), F.col("component").alias("other"))
     inner = pairs.join(a, "src").join(b, "dst").where("component = other")
     whole = inner.groupBy("component").agg(F.collect_list(F.struct("src", "dst")).alias("edges"))
-    path = F.udf(lambda component, edges: shortest_cycle([(e["src"], e["dst"]) for e in edges], component), "array<string>")
+    path = F.udf(lambda component, edges: first_cycle([(e["src"], e["dst"]) for e in edges], component), "array<string>")
     return whole.select("component", path("component", "edges").alias("path"))
 
 

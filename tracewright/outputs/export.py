@@ -21,7 +21,8 @@ def drawable(c: Corpus, edges: DataFrame) -> DataFrame:
 
 def shown(c: Corpus, types: list[str] | None = None, connected: bool = False, references: bool = False) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges (typed ones; references as well, if asked, between shown nodes) of a rendering."""
-    typed = drawable(c, c.edges if not types else c.edges.where(F.col("type").isin(types))).select("src", "type", "dst", "origin", "attrs")
+    own = c.recorded
+    typed = drawable(c, own if not types else own.where(F.col("type").isin(types))).select("src", "type", "dst", "origin", "attrs")
     nodes = c.nodes
     if connected:
         ends = typed.select(F.col("src").alias("id")).union(typed.select("dst")).distinct()

@@ -379,3 +379,82 @@ def spec_rules(spark, sf_dir):
 def spec_projections(spark, sf_dir):
     frame = vaults.spec_corpus(spark, sf_dir).frame.where("kind = 'clause'")
     return frame.select("id", *(F.col(f"is_{p}").alias(p) for p in ("enforced", "has_inforce_successor", "effective", "effective_must")))
+
+
+TEXTS = """t AS (SELECT c_custkey AS k, c_name AS name, c_mktsegment AS segment FROM customer)"""
+
+
+@query("names_and_headings", """SELECT k, regexp_replace(lower(name || ' & Co, ' || segment || '!'), '[^a-z0-9]+', '-', 'g') AS raw,
+  regexp_replace(regexp_replace(lower(name || ' & Co, ' || segment || '!'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug, lower(segment) || ' of ' || k AS heading,
+  'customer#' || k AS plain FROM t""", more=TEXTS)
+def names_and_headings(spark, sf_dir):
+    from tracewright.functions import text as T
+
+    t = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    title = F.concat("c_name", F.lit(" & Co, "), "c_mktsegment", F.lit("!"))
+    heading = F.concat(F.lit("  "), "c_mktsegment", F.lit(" Of "), F.col("c_custkey").cast("string"), F.lit(": "))
+    raw = F.regexp_replace(F.lower(title), "[^a-z0-9]+", "-")
+    return t.select(F.col("c_custkey").alias("k"), raw.alias("raw"), T.kebab(title).alias("slug"), T.heading(heading).alias("heading"), F.concat(F.lit("customer#"), F.col("c_custkey").cast("string")).alias("plain"))
+
+
+@query("labels", """SELECT doc_id, CASE WHEN length(line) > 40 THEN substr(line, 1, 37) || '...' ELSE line END AS label FROM (
+  SELECT doc_id, replace(trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g')), '"', '''') AS line FROM documents)""")
+def labels(spark, sf_dir):
+    from tracewright.functions import text as T
+
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", T.label(F.col("text")).alias("label"))
+
+
+@query("references_shapes", """SELECT k, CAST(k AS VARCHAR) AS unwrapped, k % 4 <> 3 AS shaped, k % 2 = 0 AS link, CASE WHEN length(CAST(k AS VARCHAR)) >= 4 THEN CAST(k AS VARCHAR) ELSE lpad(CAST(k AS VARCHAR), 4, '0') END AS identity, 'P-' || k AS unpadded, k AS number FROM t""", more=TEXTS)
+def references_shapes(spark, sf_dir):
+    """Wikilinks, shapes of identities, links to documents, identities, padding and numbers."""
+    from tracewright.functions import identity as I
+    from tracewright.plans.config import presets
+
+    k = F.col("c_custkey").cast("string")
+    cfg = presets()["adr"]
+    ref = F.when(F.col("c_custkey") % 4 == 3, F.concat(F.lit("see "), k)).when(F.col("c_custkey") % 4 == 2, F.concat(F.lit("ADR-"), k, F.lit("-title.md"))).otherwise(k)
+    link = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("../x/"), k, F.lit(".md#part"))).otherwise(F.concat(F.lit("https://e.org/"), k, F.lit(".md")))
+    t = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    return t.select(
+        F.col("c_custkey").alias("k"), I.unwrapped(F.concat(F.lit(" [["), k, F.lit("|a name]]"))).alias("unwrapped"), I.shaped(ref, cfg).alias("shaped"), I.is_document_link(link).alias("link"),
+        I.numbered_identity(F.concat(F.lit("docs/0/000"), k, F.lit("-x.md")), 4).alias("identity"), I.unpadded(F.concat(F.lit("P-000"), k)).alias("unpadded"), I.number_of(F.concat(F.lit("x-0"), k, F.lit("-7"))).alias("number"),
+    )
+
+
+@query("escapes_and_values", """SELECT k, name || '%25:%0A,' AS data, replace(name, '#', '#') || '%25%3A%0A%2C' AS property, CASE WHEN k % 3 = 0 THEN '2024-02-29' END AS day, k % 2 = 0 AS number, k % 3 = 0 AS day_accepted,
+  CASE k % 3 WHEN 0 THEN '' WHEN 1 THEN 'a' ELSE 'a, b or c' END AS listed FROM t""", more=TEXTS)
+def escapes_and_values(spark, sf_dir):
+    from tracewright.functions import text as T
+
+    k = F.col("c_custkey")
+    odd = F.concat("c_name", F.lit("%:\n,"))
+    day = F.when(k % 3 == 0, "2024-02-29").when(k % 3 == 1, "2023-02-29").otherwise("soon")
+    number = F.when(k % 2 == 0, F.concat(k.cast("string"), F.lit(".5"))).otherwise("many")
+    names = F.when(k % 3 == 0, F.array().cast("array<string>")).when(k % 3 == 1, F.array(F.lit("a"))).otherwise(F.array(F.lit("a"), F.lit("b"), F.lit("c")))
+    t = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    return t.select(k.alias("k"), T.escaped_data(odd).alias("data"), T.escaped_property(odd).alias("property"), T.valid_day(day).alias("day"), T.accepts(number, "number", ()).alias("number"), T.accepts(day, "date", ()).alias("day_accepted"), T.alternatives(names).alias("listed"))
+
+
+@query("recorded_attributes", """SELECT src, dst, gap, reason FROM (SELECT src, dst, gap, CASE WHEN reason = 'cheaper' THEN reason END AS reason FROM edges WHERE type = 'supersedes')""")
+def recorded_attributes(spark, sf_dir):
+    """Of an edge's attributes, those that are declared and of a value that is taken."""
+    edges = corpus(spark, sf_dir).recorded.where("type = 'supersedes'")
+    return edges.select("src", "dst", F.try_element_at("attrs", F.lit("gap")).cast("bigint").alias("gap"), F.try_element_at("attrs", F.lit("reason")).alias("reason"))
+
+
+@query("binding_delta", """SELECT count(*) FILTER (WHERE id IN (SELECT id FROM bound)) AS after, count(*) FILTER (WHERE day <= '1994-03-01' AND status = 'accepted' AND coalesce(u > '1994-03-01', true) AND NOT gone) AS before FROM (
+  SELECT d.*, coalesce(explicit_until, derived_until) AS u, EXISTS (SELECT 1 FROM edges w JOIN dated s ON s.id = w.src WHERE w.type = 'supersedes' AND w.dst = d.id
+    AND (s.status = 'superseded' OR (s.status = 'accepted' AND s.day <= '1994-03-01' AND coalesce(coalesce(s.explicit_until, s.derived_until) > '1994-03-01', true)))) AS gone FROM dated d WHERE kind = 'clause')""")
+def binding_delta(spark, sf_dir):
+    """Sizes of the binding sets of two days, of clauses alone."""
+    from tracewright.operators.corpus import Corpus
+
+    class Clauses(Corpus):
+        @property
+        def binding(self):
+            return super().binding.where("kind = 'clause'")
+
+    now = corpus(spark, sf_dir)
+    own = Clauses(now.nodes, now.edges, now.cfg, now.as_of, refs=now.refs)
+    return history.binding_delta(own.at("1994-03-01"), own)
