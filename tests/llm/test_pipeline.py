@@ -1,18 +1,37 @@
 import hashlib
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import sentencepiece
 
 import corpus_pipeline
 from tests.llm.test_minhash_dedup import brute as groups
-from tests.llm.test_repeat_removal import brute as repeats
 from tracewright.llm import mixing
 from tracewright.llm.common import materialize
+from tracewright.llm.repeat_removal import runs
 
 LIBRARY = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def without_passages(texts):
+    """Texts without maximal runs of 51 words and more that 200-byte strings standing twice cover."""
+    size = corpus_pipeline.PASSAGE_BYTES
+    data = [t.encode() for t in texts]
+    counts = Counter(d[i : i + size] for d in data for i in range(len(d) - size + 1))
+    out = []
+    for d in data:
+        gone = np.zeros(len(d), dtype=bool)
+        for i in range(len(d) - size + 1):
+            if counts[d[i : i + size]] > 1:
+                gone[i : i + size] = True
+        for first, last in runs(gone):
+            if len(d[first : last + 1].split()) < corpus_pipeline.PASSAGE_WORDS:
+                gone[first : last + 1] = False
+        out.append(bytes(b for b, g in zip(d, gone, strict=True) if not g).decode(errors="ignore"))
+    return out
+
+
 def stages(spark, docs, sf_dir):
     tables = [docs]
     for _, f in corpus_pipeline.STAGES:
@@ -29,13 +48,9 @@ def check(tables, low=0.97):
     assert all(any(c.isalpha() for c in r["text"]) for r in rows[1])
     judged = groups([(r["doc_id"], r["text"]) for r in rows[1]])
     assert sorted(r["doc_id"] for r in rows[2]) == sorted(d for d, _, c in judged if d == c)
-    kept = {r["doc_id"]: w for r, w in zip(rows[2], repeats([r["text"] for r in rows[2]], 400), strict=True)}
-    assert len(rows[3]) == len(rows[2])
-    before = {r["doc_id"]: r["text"] for r in rows[2]}
-    for r in rows[3]:
-        n, removed = kept[r["doc_id"]][:2]
-        assert r["text"] == before[r["doc_id"]] if not removed else len(r["text"].encode()) <= n - removed
-        assert r["n_chars"] == len(r["text"])
+    cut = {r["doc_id"]: t for r, t in zip(rows[2], without_passages([r["text"] for r in rows[2]]), strict=True)}
+    assert {r["doc_id"]: r["text"] for r in rows[3]} == cut and len(rows[3]) == len(rows[2])
+    assert all(r["n_chars"] == len(r["text"]) for r in rows[3])
     copies = Counter(r["doc_id"] for r in rows[4])
     mixed = {r.doc_id: r.copies for r in mixing.mix(tables[3]).collect() if r["size"]}
     assert copies == Counter({d: c for d, c in mixed.items() if c})

@@ -136,7 +136,7 @@ def test_mixing_is_unbiased():
 
     sums = np.zeros(6)
     for trial in range(4000):
-        rows = [[trial * 10 + i, "s", 5 + i, 45, 30.0, 0, i, 2 / 3 - 0.05 * i, 0] for i in range(6)]
+        rows = [[trial * 10 + i, "s", 5 + i, 45, 30.0, 0, i, 2 / 3 - 0.05 * i, 0, i] for i in range(6)]
         batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), mixing.STATE_KINDS, strict=True)], names=mixing.NAMES)
         for out in mixing.meet(iter([batch]), 0, True):
             for r in out.to_pylist():
@@ -149,3 +149,19 @@ def test_mixing_nothing(spark):
     assert mixing.mix(spark.createDataFrame([], schema)).collect() == []
     rows = mixing.mix(spark.createDataFrame([(1, None, None), (2, "", "a")], schema)).collect()
     assert [(r["size"], r.target, r.copies) for r in rows] == [(0, 0.0, 0)] * 2
+
+
+def test_taken_rows(spark):
+    """Rows come as often as the mix takes them; those that share id, source and text take their copies together."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(["w"] * rng.randint(0, 9)), rng.choice("abc"), i % 4) for i in range(300)]
+    rows += [(5, "one two three", "a", 1)] * 3 + [(5, "four five", "a", 1), (None, "six seven", None, 2), (None, None, None, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, mark int")
+    want, got = defaultdict(int), defaultdict(int)
+    for r in mixing.mix(docs).where("size > 0").collect():
+        want[r.doc_id, r.source, r.mark] += r.copies
+    out = mixing.taken(docs)
+    assert out.columns == docs.columns
+    for r in out.withColumn("hash", mixing.mark_of("text")).collect():
+        got[r.doc_id, r.source, r.hash] += 1
+    assert dict(got) == {k: n for k, n in want.items() if n}

@@ -21,6 +21,7 @@ Columns other than doc_id and text are not looked at.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +36,9 @@ PRIMES = (2147483647, 2147483629)
 BASES = (1103515245, 1664525003)
 SPAN = 24
 KEPT = 48
+#: Rows of a range of ids, and how many ranges there may be: a row for each comes to the driver.
+RANGE_ROWS = 20000
+MOST_RANGES = 1 << 15
 SALT = U64(SPAN * 0x9E3779B97F4A7C15 % 2**64)
 
 
@@ -242,8 +246,8 @@ def edited_by_next(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    n = 4 * n_partitions(spark)
-    marks = docs.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 100 * n)).first()[0] or []
+    n = min(MOST_RANGES, max(4 * n_partitions(spark), math.ceil(docs.count() / RANGE_ROWS)))
+    marks = docs.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10 * n)).first()[0] or []
     bounds = np.unique(np.array(marks, dtype=np.int64))
 
     def place(ids: pd.Series) -> np.ndarray:
@@ -264,7 +268,7 @@ def edited_by_next(docs: DataFrame) -> DataFrame:
     led = F.pandas_udf(also, "long")
     goes = F.array(F.struct(ranged("doc_id").alias("at"), F.lit(0).alias("guest")), F.struct(led("doc_id").alias("at"), F.lit(1).alias("guest")))
     dealt = docs.withColumn("goes", F.explode(goes)).where("goes.at IS NOT NULL").select("goes.at", "goes.guest", "doc_id", "text")
-    sorted_rows = dealt.repartition(n_partitions(spark), "at").sortWithinPartitions("at", "guest", F.desc_nulls_last("doc_id"), "text")
+    sorted_rows = dealt.repartition(n, "at").sortWithinPartitions("at", "guest", F.desc_nulls_last("doc_id"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[int, Fingerprinted] | None = None

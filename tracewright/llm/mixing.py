@@ -10,7 +10,9 @@ these meet in a tree of blocks, one level after the other, until a source has on
 which is rounded at random.  Randomness comes from hashes of the ids alone: reruns agree.
 
 Null text has size 0; documents of size 0 take 0 words.  A null source is a source, the
-last.  Each of repeated rows is a document.
+last.  Each of repeated rows is a document; rows of one id are told apart by their texts, so
+an id that many rows have is spread over the blocks.  An empty table has an empty result;
+very long texts are only counted; columns other than doc_id, source and text are not looked at.
 """
 
 from __future__ import annotations
@@ -30,8 +32,8 @@ BLOCK_ROWS = 512
 FAN_IN = 32
 MAX_RANGES = 64
 NEAR = 1e-12
-STATE = "doc_id long, source string, size long, source_size long, target double, block long, place long, fraction double, copies int"
-STATE_KINDS = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.float64(), pa.int32()]
+STATE = "doc_id long, source string, size long, source_size long, target double, block long, place long, fraction double, copies int, mark long"
+STATE_KINDS = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int64()]
 NAMES = [part.split()[0] for part in STATE.split(", ")]
 
 
@@ -40,6 +42,28 @@ def size_of(text: str):
     return F.coalesce(F.regexp_count(F.col(text), F.lit("[^ \\x09-\\x0D]+")), F.lit(0)).cast("long")
 
 
+def mark_of(text: str):
+    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
+
+
+def taken(docs: DataFrame, weights: Sequence[int] = (5, 2, 1)) -> DataFrame:
+    """The rows of docs as often as the mix takes them.
+
+    Rows that share id, source and text take their copies together, as evenly as they can.
+    """
+    own = "mixed_" + "_" * max(map(len, docs.columns))  # longer than any name there
+    chosen = mix(docs, weights).where("size > 0").groupBy("doc_id", "source", "mark").agg(F.sum("copies").alias(own + "n"), F.count("*").alias(own + "m")).where(F.col(own + "n") > 0)
+    chosen = chosen.withColumnsRenamed({"doc_id": own + "id", "source": own + "of", "mark": own + "mark"})
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col(own + "id")) & docs["source"].cast("string").eqNullSafe(F.col(own + "of")) & (F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == F.col(own + "mark"))
+    met = docs.join(chosen, same)
+    n, m, nth = (F.col(own + x) for x in ("n", "m", "nth"))
+    single = met.where(m == 1).withColumn(own + "nth", F.lit(1))
+    several = met.where(m > 1).withColumn(own + "nth", F.row_number().over(Window.partitionBy(own + "id", own + "of", own + "mark").orderBy(*docs.columns)))
+    share = F.floor(n / m) + F.when(nth <= n % m, 1).otherwise(0)
+    copies = single.unionByName(several).withColumn(own + "n", share.cast("int")).where(F.col(own + "n") > 0)
+    return copies.select(*(F.col(c) for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col(own + "n"))).alias(own + "n")).select(*docs.columns)
+
+
 def numbered(df: DataFrame, *by) -> DataFrame:
     """Adds ``number``, each row's place from 0 in a global order, without bringing the rows to one task."""
     placed = materialize(df.repartitionByRange(min(MAX_RANGES, n_partitions(df.sparkSession)), *by).withColumn("part", F.spark_partition_id()))
@@ -122,15 +146,15 @@ def meet(batches: Iterator[pa.RecordBatch], level: int, last: bool) -> Iterator[
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), text: str = "text") -> DataFrame:
-    """doc_id, source, size, source_size, target, copies of each document: how often the mix takes it."""
+    """doc_id, source, size, source_size, target, copies, mark (a hash of the text) of each document: how often the mix takes it."""
     spark = docs.sparkSession
-    sizes = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size_of(text).alias("size")))
+    sizes = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size_of(text).alias("size"), mark_of(text).alias("mark")))
     wanted = targets(sizes, weights)
     blocks = max(1, math.ceil(sizes.count() / BLOCK_ROWS))
     ratio = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(MOST)))).otherwise(F.lit(0.0))
-    place = F.xxhash64("doc_id", F.lit(8))
+    place = F.xxhash64("doc_id", "mark", F.lit(8))
     state = sizes.alias("s").join(wanted.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).select(
-        "doc_id", "source", "size", "source_size", "target", F.pmod(place, F.lit(blocks)).cast("long").alias("block"), place.alias("place"), (ratio - F.floor(ratio)).alias("fraction"), F.floor(ratio).cast("int").alias("copies")
+        "doc_id", "source", "size", "source_size", "target", F.pmod(place, F.lit(blocks)).cast("long").alias("block"), place.alias("place"), (ratio - F.floor(ratio)).alias("fraction"), F.floor(ratio).cast("int").alias("copies"), "mark"
     )
     done: list[DataFrame] = []
     level = 0
@@ -147,4 +171,4 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), text: str = "text")
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies")
+    return out.select("doc_id", "source", "size", "source_size", "target", "copies", "mark")
