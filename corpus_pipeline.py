@@ -55,14 +55,8 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; texts without words go, they weigh nothing."""
-    copies = mixing.mix(docs, WEIGHTS).where("copies > 0 AND size > 0")
-    wanted = copies.groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies"))
-    wanted = wanted.select(F.col("doc_id").alias("w_id"), F.col("source").alias("w_source"), F.col("size").alias("w_size"), "copies")
-    sized = docs.select(*COLUMNS).withColumn("size", mixing.size_of("text"))
-    same = F.col("doc_id").eqNullSafe(F.col("w_id")) & F.col("source").eqNullSafe(F.col("w_source")) & (F.col("size") == F.col("w_size"))
-    taken = sized.join(wanted, same).select(*COLUMNS, F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
-    return taken.select(*COLUMNS)
+    """Each document as often as the mix takes it; null texts and those without words go, they weigh nothing."""
+    return mixing.taken(docs.select(*COLUMNS), WEIGHTS)
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
