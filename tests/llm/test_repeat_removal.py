@@ -95,3 +95,15 @@ def test_short_runs_can_stay(spark):
     df = spark.createDataFrame([(i, t, "a") for i, t in enumerate(texts)], "doc_id long, text string, cut_h1 string")
     out = {r.doc_id: r.text for r in repeat_removal.cleaned(df, 60, least_words=20).collect()}
     assert out == {0: "one1two", 1: "three2four", 2: texts[2], 3: texts[3]}
+
+
+def test_transform_of_several_parts():
+    rng = random.Random(1)
+    for _ in range(150):
+        length = rng.choice([1, 3, 8, 20])
+        parts = [bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 60))) for _ in range(rng.randint(1, 6))]
+        if rng.random() < 0.5:
+            parts += [parts[0], parts[-1][3:]]
+        counts = Counter(d[i : i + length] for d in parts for i in range(len(d) - length + 1))
+        want = [[i for i in range(len(d) - length + 1) if counts[d[i : i + length]] > 1] for d in parts]
+        assert [x.tolist() for x in repeat_removal.transform_repeats(parts, length)] == want

@@ -53,48 +53,64 @@ COLUMNS = 64
 BLOCK = 1024
 
 
-def bwt_repeats(data: bytes, length: int) -> np.ndarray:
-    """Starts of the strings of ``length`` bytes that occur again in one block, by backward extension."""
-    n = len(data)
-    text = np.concatenate([np.frombuffer(data, dtype=np.uint8).astype(np.int64) + 1, [0]])
+def transform_repeats(parts: list[bytes], length: int) -> list[np.ndarray]:
+    """For each part, starts of its strings of ``length`` bytes that occur again, there or in another part.
+
+    By backward extension on the Burrows-Wheeler transform of the parts, each ended by a symbol of its own.
+    """
+    m = len(parts)
+    sizes = np.array([len(p) for p in parts], dtype=np.int64)
+    firsts = np.concatenate([[0], np.cumsum(sizes + 1)])[:-1]
+    n = int(sizes.sum()) + m
+    text = np.empty(n, dtype=np.int64)
+    for i, (p, at) in enumerate(zip(parts, firsts, strict=True)):
+        text[at : at + len(p)] = np.frombuffer(p, dtype=np.uint8)
+        text[at : at + len(p)] += m
+        text[at + len(p)] = i
     order, rank, size = np.argsort(text, kind="stable"), text.copy(), 1
     while True:
-        second = np.concatenate([rank[size:], np.full(min(size, n + 1), -1)])[: n + 1]
+        second = np.concatenate([rank[size:], np.full(min(size, n), -1)])[:n]
         order = np.lexsort((second, rank))
         new = np.concatenate([[0], np.cumsum((np.diff(rank[order]) != 0) | (np.diff(second[order]) != 0))])
         rank = np.empty_like(new)
         rank[order] = new
-        if new[-1] == n or size > n:
-            break
+        if new[-1] == n - 1 or size > length:
+            break  # beyond the length, the order no longer matters
         size *= 2
     transform = text[order - 1]
-    where = {int(c): np.flatnonzero(transform == c) for c in np.unique(transform)}
+    where = {int(c): np.flatnonzero(transform == c) for c in np.unique(transform) if c >= m}
     before = {c: int((text < c).sum()) for c in where}
-    common = np.full(n + 2, -1)  # of the suffixes at i - 1 and i; -1: at least as long as the values tried
-    common[0] = common[n + 1] = 0
-    low, high = np.array([0]), np.array([n + 1])
+    common = np.full(n + 1, -1)  # of the suffixes at i - 1 and i; -1: at least as long as the values tried
+    common[: m + 1] = common[n] = 0  # ends come first and have nothing in common
+    low, high = np.array([0]), np.array([n])
     for value in range(length):
         lows, highs = [], []
         for c, at in where.items():
-            if c == 0:
-                continue
             lo, hi = before[c] + np.searchsorted(at, low), before[c] + np.searchsorted(at, high)
             fresh = (hi > lo) & (common[hi] < 0)
+            if value == 0:
+                fresh = hi > lo
             _, first = np.unique(hi[fresh], return_index=True)
             lo, hi = lo[fresh][first], hi[fresh][first]
-            common[hi] = value
+            common[hi] = np.where(common[hi] < 0, value, common[hi])
             lows.append(lo)
             highs.append(hi)
-        if value == 0:  # the shortest suffix, which is empty, opens its own interval
-            lows.append(np.array([0]))
-            highs.append(np.array([1]))
-            common[1] = 0
+        if value == 0:  # the ends open intervals of their own
+            lows.append(np.arange(m))
+            highs.append(np.arange(m) + 1)
         low, high = np.concatenate(lows), np.concatenate(highs)
         if not len(low):
             break
-    shared = np.flatnonzero(common[1 : n + 1] < 0) + 1
+    shared = np.flatnonzero(common[1:n] < 0) + 1
     starts = np.unique(np.concatenate([order[shared], order[shared - 1]]))
-    return starts[starts + length <= n]
+    owner = np.searchsorted(firsts, starts, side="right") - 1
+    inside = starts - firsts[owner] + length <= sizes[owner]
+    return [starts[inside & (owner == i)] - firsts[i] for i in range(m)]
+
+
+def bwt_repeats(data: bytes, length: int) -> np.ndarray:
+    """Starts of the strings of ``length`` bytes that occur again in one text."""
+    return transform_repeats([data], length)[0]
 
 
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
