@@ -77,3 +77,12 @@ def test_general_interface(spark):
     at_once = sentencepiece_codec.coded(df, MODEL).orderBy("doc_id")
     assert at_once.columns == ["doc_id", "ids", "decoded"]
     assert at_once.collect() == [(r.doc_id, r.ids, r.decoded) for r in coded]
+
+
+def test_count_tokens(spark):
+    texts = [None, "", "one two", "x" * 5000] + [f"row {i}" for i in range(1500)]
+    df = spark.createDataFrame([(i, t, "extra") for i, t in enumerate(texts)], "doc_id long, body string, n string")
+    out = token_counts.count_tokens(df, MODEL, text="body", out="n").orderBy("doc_id")
+    assert out.columns == ["doc_id", "body", "n"]
+    assert [r.n for r in out.collect()] == [len(LIBRARY.encode(t or "")) for t in texts]
+    assert 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
