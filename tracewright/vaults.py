@@ -15,7 +15,14 @@ RECORD_SECTIONS = {"preset": "adr", "sections": ["Context", "Decision|Outcome",
 
 
 def padded(key: Column) -> Column:
-    return F.lpad(key.cast("string"), 6, "0")
+    """At least six digits; a longer number is whole, or several documents would share a name."""
+    digits = key.cast("string")
+    return F.when(F.length(digits) < 6, F.lpad(digits, 6, "0")).otherwise(digits)
+
+
+def six(text: str) -> Column:
+    """A name or identity of such a document as the SQL writes it, with the first six digits of a longer number."""
+    return F.regexp_replace(text, r"(/|P-|x)([0-9]{6})[0-9]+(?=\.|-|$)", "$1$2").alias(text)
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +49,7 @@ def record_corpus(spark: SparkSession, sf_dir: str) -> Corpus:
 KINDS = {
     "preset": "adr",
     "kinds": {
-        "clause": {"dir": "clauses", "id": r"P-\d{6}", "status_values": ["accepted"], "closed": True, "append_only": True, "fields": {"level": {"one_of": ["low", "high"], "required": True}}},
+        "clause": {"dir": "clauses", "id": r"P-\d{6,}", "status_values": ["accepted"], "closed": True, "append_only": True, "fields": {"level": {"one_of": ["low", "high"], "required": True}}},
         "topic": {"dir": "topics", "id": r"topic/\d+"},
     },
     "edges": [{"name": "about", "from": ["clause"], "to": ["topic"], "inverse": "told_by", "attrs": {"weight": {"type": "number"}}}, {"name": "needs", "from": ["clause"], "to": ["clause"]}],
