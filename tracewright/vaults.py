@@ -69,7 +69,8 @@ def kind_files(spark: SparkSession, sf_dir: str, changed: bool = False) -> DataF
     level = F.when(rest(40) == 5, "").when(rest(40) == 6, "level: middle\n").otherwise(F.when(F.col("p_size") > 25, "level: high\n").otherwise("level: low\n"))
     extra = F.when(rest(40) == 8, "colour: red\n").when(rest(40) == 9, "kind: topic\n").otherwise("")
     about = F.when(rest(40) == 10, "about: [{ref: topic/1, weight: heavy}]\n").otherwise("about: [topic/1]\n")
-    needs = F.when((rest(40) == 12) & (k > 12), F.concat(F.lit("needs: [P-"), (k - 1).cast("string"), F.lit("]\n"))).otherwise("")
+    badly = F.concat(F.when(k - 1 > 99999, "0").otherwise(""), (k - 1).cast("string"))
+    needs = F.when((rest(40) == 12) & (k > 12), F.concat(F.lit("needs: [P-"), badly, F.lit("]\n"))).otherwise("")
     body = F.lit("text\nmore\n")
     if changed:
         level = F.when(rest(40) == 20, "level: none\n").otherwise(level)
